@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -30,7 +31,7 @@ SYMBOLS = b"#*$%&|<>"
 WORD_CACHE = 1 << 19
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-BAND_WIDTH = 3.5
+BAND_WIDTH = 4.0
 MIN_LABELLED = 100
 MAX_BANDS = 100_000
 #: Bands where no labelled rows exist: characters per token (both vocabularies) by script, then bounds for all scripts.
@@ -41,6 +42,7 @@ METRICS = ("cpt_piece", "cpt_byte", "byte_share", "entropy")
 FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, cpt_piece double, cpt_byte double, byte_share double, entropy double, script string"
 _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 _TYPES = [{"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[f.split()[1]] for f in FIELDS.split(", ")]
+_DIGIT = re.compile(rb"[0-9]")
 _SCRIPT_STARTS = np.array([0, 0x250, 0x370, 0x400, 0x530, 0x600, 0x780, 0x3040, 0xA000])
 _SCRIPTS = ("latin", "other", "greek", "cyrillic", "other", "arabic", "other", "han", "other")
 
@@ -66,6 +68,7 @@ class Vocabularies:
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
         self.other = np.zeros(1 << 14, np.int64)
+        self.chars = np.zeros(1 << 14, np.int64)
 
     def add(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -73,12 +76,13 @@ class Vocabularies:
         for w, text, own in zip(words, texts, pieces, strict=True):
             i = len(self.ids)
             if i == len(self.start):
-                self.start, self.count, self.other = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.other))
+                self.start, self.count, self.other, self.chars = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.other, self.chars))
             while self.used + len(own) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.ids[w] = i
             self.flat[self.used : self.used + len(own)] = own
             self.start[i], self.count[i], self.other[i] = self.used, len(own), len(self.byte.encode_ordinary(" " + text))
+            self.chars[i] = -len(text) if _DIGIT.search(w) else len(text)
             self.used += len(own)
 
     def word_ids(self, words: list[bytes]) -> np.ndarray:
@@ -94,11 +98,15 @@ class Vocabularies:
             found = [get(w) for w in words]
         return np.array(found, np.int64)
 
-    def tokens(self, ids: np.ndarray) -> tuple[np.ndarray, int]:
+    def tokens(self, ids: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """Piece tokens of the words without a digit, number of their byte tokens, and their characters. Numbers, keys and addresses say nothing about a text's language."""
+        ids = ids[self.chars[ids] > 0]
+        if not len(ids):
+            return np.zeros(0, np.int32), 0, 0
         n = self.count[ids]
         ends = np.cumsum(n)
         at = np.arange(ends[-1]) + np.repeat(self.start[ids] - (ends - n), n)
-        return self.flat[at], int(self.other[ids].sum())
+        return self.flat[at], int(self.other[ids].sum()), int(self.chars[ids].sum())
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -148,13 +156,13 @@ def measures(raw: bytes | None, v: Vocabularies) -> tuple:
             duplicates += line in seen
             seen.add(line)
     ids = v.word_ids(words)
-    tokens, other = v.tokens(ids)
+    tokens, other, plain = v.tokens(ids)
     n = len(tokens)
     times = np.bincount(tokens, minlength=v.size)
     fallback = int(times[v.is_byte].sum())
     p = times[times > 0] / max(n, 1)
     entropy = float(-(p * np.log2(p)).sum()) / np.log2(min(n, v.size)) if n > 1 else 0.0
-    return len(words), chars, symbols, duplicates, repeated_words(ids), n, chars / max(n, 1), chars / max(other, 1), fallback / max(n, 1), entropy, script_of(raw.decode("utf-8", "replace"))
+    return len(words), chars, symbols, duplicates, repeated_words(ids), n, plain / max(n, 1), plain / max(other, 1), fallback / max(n, 1), entropy, script_of(raw.decode("utf-8", "replace"))
 
 
 @functools.lru_cache(1)
