@@ -46,8 +46,11 @@ def _one(match: Column, pattern: str, groups: tuple[int, ...]) -> Column:
 
 def parse_dates(text: Column) -> Column:
     """All dates and date-times of a text in XSD form, distinct and sorted. Years above 9999 are no dates."""
-    found = F.concat(*(F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, p=p, g=g: _one(m, p, g)), lambda x: x.isNotNull()) for p, g in DATE_SHAPES))
-    return F.sort_array(F.array_distinct(found))
+
+    def of(pattern: str, groups: tuple[int, ...]) -> Column:
+        return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _one(m, pattern, groups)))
+
+    return F.sort_array(F.array_distinct(F.concat(*(of(p, g) for p, g in DATE_SHAPES))))
 
 
 def dates_only(text: Column) -> Column:
