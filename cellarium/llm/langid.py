@@ -118,7 +118,7 @@ class Parser:
         for column, i in enumerate(order):
             grid[: len(blocks[i]), column] = blocks[i]
         state = np.repeat(self.roots[:, None], n, axis=1)
-        count = np.ones((k, n), np.int32)
+        count = np.zeros((k, n), np.int32)
         step, alphabet, root = self.next, self.alphabet, self.roots[:, None]
         live = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
         for t in range(len(grid)):
@@ -126,8 +126,9 @@ class Parser:
             c = grid[t, :m]
             at = step[state[:, :m] * alphabet + c]
             lost = at < 0
+            # A phrase begins at a root, where the one before ended with an unknown character, and at each mismatch.
+            count[:, :m] += lost | (state[:, :m] == root)
             if lost.any():
-                count[:, :m] += lost
                 again = step[root * alphabet + c]
                 at = np.where(lost, np.where(again < 0, root, again), at)
             state[:, :m] = at

@@ -174,7 +174,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(ids.select(F.col("doc_id").alias("__id"), "__n"), F.col("doc_id") == F.col("__id"), "inner")
     once = kept.filter("__n = 1").select(*docs.columns)
     if not found.filter("doc_id is null or component_id is null").isEmpty():
-        once = once.unionByName(docs.filter("doc_id is null").join(found.filter("component_id is null").select("fp").distinct(), fingerprint_of(F.col("text")) == F.col("fp"), "left_semi").dropDuplicates(["text"]))
+        once = once.unionByName(docs.filter("doc_id is null").join(found.filter("component_id is null").select(F.col("fp").alias("__fp")).distinct(), fingerprint_of(F.col("text")) == F.col("__fp"), "left_semi").dropDuplicates(["text"]))
     if ids.filter("__n > 1").isEmpty():
         return once
     return once.unionByName(kept.filter("__n > 1").select(*docs.columns).dropDuplicates(["doc_id"]))

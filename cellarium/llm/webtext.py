@@ -161,7 +161,7 @@ def main_text(blocks: list[tuple[str, int]], covered: list[float]) -> str:
     zone = max((z for _, z in blocks), default=0)
     own = [(t, c) for (t, z), c in zip(blocks, covered, strict=True) if z == zone and z]
     kept = [t for t, c in own if c < COVERED]
-    if 2 * sum(map(len, kept)) < sum(len(t) for t, _ in own):
+    if zone > 1 and 2 * sum(map(len, kept)) < sum(len(t) for t, _ in own):
         kept = [t for t, _ in own]
     return "\n".join(kept)
 

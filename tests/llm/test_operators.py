@@ -1,0 +1,387 @@
+"""The ten operators against brute-force versions on a small fixture with odd rows, and on empty tables."""
+
+import collections
+import hashlib
+import html
+import re
+
+import duckdb
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cellarium.llm import chat, decontaminate, fertility, langid, licenses, mixing, registry, secrets, simhash, urlrules, webtext
+from tests.llm.conftest import BENCHMARK, documents, pages
+
+WS = r"[^\x20\x09-\x0D]+"
+
+
+def lower(s):
+    return s.translate({c: c + 32 for c in range(65, 91)})
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_tables(spark, empty, name):
+    df = registry.QUERIES[name](spark, empty)
+    assert df.count() == (1 if name.startswith("op2_") else 0)
+
+
+def test_decontamination(spark, sf):
+    got = {(r["doc_id"], r["item_id"]) for r in registry.QUERIES["op1_latent_retrieval"](spark, sf).collect()}
+    assert got == {(209, 0)}
+
+
+def test_paraphrases(spark):
+    """Leaks with a tenth of their words replaced are found; texts of the same words in another order are not."""
+    words = BENCHMARK[1].split()
+    changed = " ".join("other" if i % 10 == 4 else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, "a b c " + changed + " d e"), (2, " ".join(sorted(words))), (3, BENCHMARK[1])], "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(BENCHMARK)), "item_id bigint, text string")
+    space = decontaminate.fit(docs, bench)
+    hits = docs.select("doc_id", F.size(decontaminate.hits_of(spark, space, F.col("text"))).alias("n")).collect()
+    assert {r["doc_id"] for r in hits if r["n"]} == {1, 3}
+
+
+def test_lcs_is_exact():
+    items = [w.split() for w in ("a b c d e f g h", "x y x y x y z z")]
+    items = [[x.encode() for x in w] for w in items]
+    vocab = tuple(decontaminate.vocabulary(items))
+    import numpy as np
+
+    space = decontaminate.Space([0, 1], items, vocab, np.ones(len(vocab)), 10, np.zeros((len(vocab), 4)), 4)
+
+    def slow(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    for text in (b"a c b d h", b"x x y z q z", b"", b"h g f e d c b a"):
+        for i in (0, 1):
+            assert space.lcs(i, text.split()) == slow(items[i], text.split())
+
+
+def test_chat(spark, sf):
+    df = registry.QUERIES["op2_chat_parts"](spark, sf)
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{sf}/conversations.parquet/*.parquet'")
+    found = c.execute(chat.SQL)
+    names = [d[0] for d in found.description]
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_chat_parts(spark):
+    parts = [("text", "see & <|x|>", None, None, None, None, None), ("image", None, "i.png", 57, 28, None, None), ("audio", None, "a.wav", None, None, 1.5, None), ("document", None, "d.pdf", None, None, None, 3), ("image", None, "bad", None, None, None, None)]
+    rows = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    r = chat.formatted(rows).first()
+    assert r["formatted"] == "<|turn|>user<|body|>see &amp; &lt;|x|><|image|><|audio|><|document|><|image|><|end|><|turn|>assistant<|body|><|end|>"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [("image", "i.png", 3), ("audio", "a.wav", 38), ("document", "d.pdf", 1800), ("image", "bad", 0)]
+
+
+def test_fertility(spark, sf):
+    rows = registry.QUERIES["op3_fertility"](spark, sf).collect()
+    want = collections.Counter()
+    for d, t, *_ in documents():
+        w = re.findall(WS, t or "")
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = collections.Counter(tri)
+        covered = {j for i, x in enumerate(tri) if n[x] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in (t or "").split("\n") if re.search(WS, x)]
+        base = (d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+        want[(*base, base[1] < 50 or 100 * base[5] > 50 * base[1])] += 1
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert collections.Counter(tuple(r[n] for n in names) for r in rows) == want
+    assert not any(r["kept"] for r in rows if r["base_failed"])
+    good = [r for r in rows if r["doc_id"] is not None and r["doc_id"] < 120]
+    assert sum(r["kept"] for r in good) > 0.9 * len(good)
+
+
+def test_repeated_words_beyond_packed_keys():
+    import numpy as np
+
+    ids = np.array([1, 2, 3, 9, 1, 2, 3, 1 << 22])
+    assert fertility.repeated_words(ids) == 6
+    assert fertility.repeated_words(ids % 16) == 6
+
+
+def test_scripts():
+    assert fertility.script_of("hello wörld") == "latin" and fertility.script_of("привет мир") == "cyrillic" and fertility.script_of("12 !") == "other"
+
+
+def test_language(spark, sf):
+    rows = registry.QUERIES["op4_cross_parsing"](spark, sf).collect()
+    assert len(rows) == len(documents())
+    import zlib
+
+    lang = {d: x for d, _, x, *_ in documents() if d is not None and d < 120}
+    for r in rows:
+        held = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+        assert r["held_out"] == held and 0 <= r["score"] <= 1
+    tested = [r for r in rows if r["held_out"] and r["doc_id"] in lang]
+    assert sum(lang[r["doc_id"]] == r["lang_pred"] for r in tested) >= 0.95 * len(tested) > 0
+    assert {r["lang_pred"] for r in rows if r["doc_id"] in (202, 203, 205)} == {"und"}
+
+
+def test_phrases_are_longest_matches():
+    samples = (("a", "abracadabra abra cad"), ("b", "banana band and a ban"))
+    parser = langid.Parser(samples)
+
+    def slow(text, sample):
+        n, i = 0, 0
+        while i < len(text):
+            k = 1
+            while i + k <= len(text) and text[i : i + k] in sample:
+                k += 1
+            i += max(k - 1, 1)
+            n += 1
+        return n
+
+    texts = ["abra band cadabra", "banana", "zzz abra z", "a"]
+    blocks = [parser.codes(t) for t in texts]
+    found = parser.phrases(blocks)
+    assert [[int(found[j, i]) for j in range(2)] for i in range(4)] == [[slow(t, s) for _, s in samples] for t in texts]
+
+
+def test_licenses(spark, sf):
+    rows = registry.QUERIES["op5_diagonal_voting"](spark, sf).collect()
+    want = collections.Counter()
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    for d, t, *_ in documents():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+        at = [(i, x) for p, x in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        s = [i for i, _ in at]
+        want[d, len(w), len(at), min(s, default=None), max(s, default=None), ",".join(sorted({x for _, x in at}))] += 1
+    assert collections.Counter(tuple(r[n] for n in ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) for r in rows) == want
+    assert {r["labels"] for r in rows} == {"", "gpl,mit"}
+
+
+def test_license_spans(spark):
+    """A long notice with a few words changed is verified, half of one is not."""
+    notice = dict(licenses.TEMPLATES)["bsd"]
+    w = notice.split()
+    docs = spark.createDataFrame([(1, "x y " + " ".join([*w[:8], "changed", *w[9:]])), (2, " ".join(w[: len(w) // 2])), (3, notice.upper())], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["label"]) for r in licenses.spans(docs).collect()} == {(1, "bsd"), (3, "bsd")}
+
+
+def brute_simhash(text):
+    w = re.findall(WS, lower(text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints):
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    own = sorted(root)
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                root[find(b)] = find(a)
+    return {p: find(p) for p in own}
+
+
+def test_simhash(spark, sf):
+    rows = registry.QUERIES["op6_simhash"](spark, sf).collect()
+    docs = [(d, brute_simhash(t)) for d, t, *_ in documents()]
+    group = brute_components([p for _, p in docs])
+    least = {}
+    for d, p in docs:
+        if d is not None:
+            least[group[p]] = min(d, least.get(group[p], d))
+    assert collections.Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows) == collections.Counter((d, f"{p:016x}", least.get(group[p])) for d, p in docs)
+
+
+def test_anchor_covering_loses_no_link(spark):
+    """Clustered fingerprints, more in an anchor than one chunk holds, give the components of all pairs."""
+    import random
+
+    rng = random.Random(3)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for p in list(prints)[:20]:
+        for _ in range(12):
+            p ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))
+            prints.add(p)
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(i, signed(p)) for i, p in enumerate(sorted(prints))], "doc_id bigint, fp bigint")
+    for chunk in (4096, 4):
+        pairs = [(r["src"], r["dst"]) for r in simhash.links(df.select("fp"), chunk).collect()]
+        root = {signed(p): signed(p) for p in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 3 or chunk == 4096
+            root[find(a)] = find(b)
+        group = brute_components(prints)
+        assert len({find(x) for x in root}) == len(set(group.values()))
+
+
+def test_components(spark):
+    from cellarium.llm.components import components
+
+    edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (7, 200), (300, 300)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert all(got[i] == 0 for i in [*range(51), 200]) and all(got[i] == 100 for i in (100, 101, 102)) and got[300] == 300
+
+
+def test_url_rules(spark, sf):
+    rows = registry.QUERIES["op7_association"](spark, sf).collect()
+    want = collections.Counter()
+    for p, u, *_ in pages():
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = lower(re.match(r"[^/?#]*", rest)[0])
+            path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        fit = [(len(h + s), h + s, v) for h, s, v in urlrules.RULES if (host == h or host.endswith("." + h)) and path.startswith(s)]
+        want[p, host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else "?"] += 1
+    got = collections.Counter((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else "?") for r in rows)
+    assert got == want and {r["verdict"] for r in rows} <= {"allow", "block"}
+
+
+def test_url_mining(spark):
+    rows = [(["h:a", "p:x"], "block")] * 9 + [(["h:a"], "allow")] * 9 + [(["p:x"], "allow")] * 9 + [(["h:s", "p:y"], "block")] * 5
+    rules = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05)
+    got = {tuple(r["tokens"]) for r in rules.collect()}
+    assert got == {("h:a", "p:x"), ("h:s",), ("p:y",)}
+    urls = spark.createDataFrame([(1, ["h:a", "p:x", "q:z"]), (2, ["h:a", "q:z"]), (3, ["p:y"])], "key bigint, tokens array<string>")
+    assert {r["key"] for r in urlrules.matched(urls, rules).collect()} == {1, 3}
+
+
+def test_main_text(spark, sf):
+    rows = {r["page_id"]: r["text"] for r in registry.QUERIES["op8_suffix_array"](spark, sf).collect()}
+    for i in range(40):
+        body = f"Own text {i} of page {i} & more.\nBold {i} after"
+        assert rows[i] == (f"Title {i}\n{body}" if i % 2 else body if i < 30 else f"Our site greets every one of its many visitors today\n{body}")
+    assert rows[100] == rows[101] == "" and rows[102] == "A\nB\nC" and rows[103] == "plain <text> here"
+
+
+def test_repeats_are_exact():
+    import random
+
+    rng = random.Random(2)
+    streams = [[rng.randrange(6) for _ in range(rng.randrange(0, 60))] for _ in range(12)]
+    for s in streams[:10]:
+        s[5:5] = [7, 8, 9, 7]
+    got = webtext.repeated(streams, 4, 0.5, 3)
+    pages_of = collections.defaultdict(set)
+    for i, s in enumerate(streams):
+        for k in range(len(s) - 3):
+            pages_of[tuple(s[k : k + 4])].add(i)
+    for i, s in enumerate(streams):
+        want = [False] * len(s)
+        for k in range(len(s) - 3):
+            if len(pages_of[tuple(s[k : k + 4])]) >= 6:
+                want[k : k + 4] = [True] * 4
+        assert got[i].tolist() == want
+
+
+def test_mixing_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.mixed(docs, mixing.tree(), share=0.5).select("doc_id", "source", "lang", "__mix.*").collect()
+    size, cap = collections.Counter(), collections.Counter()
+    domain = lambda s: "other" if not s or not s[-1].isdigit() else "web" if int(s[-1]) % 2 == 0 else "books"
+    for d, t, lang, source, *_ in documents():
+        size[domain(source), lang or "", source or ""] += len(re.findall(WS, t or ""))
+
+    def share(children, budget):
+        full, left = {}, dict(children)
+        while left:
+            level = (budget - sum(full.values())) / sum(w for w, _ in left.values())
+            over = [k for k, (w, c) in left.items() if c <= w * level]
+            if not over:
+                return full | {k: w * level for k, (w, _) in left.items()}
+            for k in over:
+                full[k] = left.pop(k)[1]
+        return full
+
+    def split(prefix, budget):
+        depth = len(prefix)
+        if depth == 3:
+            cap[prefix] = budget
+            return
+        kids = {k[: depth + 1] for k in size if k[:depth] == prefix}
+        sub = lambda p: 2 * sum(v for k, v in size.items() if k[: len(p)] == p)
+        for k, b in share({k: (mixing.WEIGHTS.get(k, 1.0), sub(k)) for k in kids}, budget).items():
+            split(k, b)
+
+    split((), 0.5 * sum(size.values()))
+    got, most = collections.Counter(), collections.Counter()
+    for r in rows:
+        key = (domain(r["source"]), r["lang"] or "", r["source"] or "")
+        got[key] += r["tokens"]
+        most[key] = max(most[key], r["tokens"])
+    for k, b in cap.items():
+        assert min(b, 2 * size[k]) - 1e-6 <= got[k] <= b + max(most[k], 0) * 3 + 1e-6, k
+    again = mixing.mixed(docs, mixing.tree(), share=0.5).select("doc_id", "__mix.epoch").collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in [type(again[0])(doc_id=r["doc_id"], epoch=r["epoch"]) for r in rows])
+
+
+def base_spans(x):
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(x) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24])
+
+
+def test_secrets(spark, sf):
+    rows = registry.QUERIES["op10_randomness"](spark, sf).collect()
+    want = collections.Counter()
+    for d, t, *_ in documents():
+        s = base_spans(t or "")
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in s)
+        want[d, *(sum(k == i for _, k, _ in s) for i in range(3)), hashlib.sha256(joined.encode()).hexdigest()] += 1
+    assert collections.Counter(tuple(r[n] for n in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")) for r in rows) == want
+
+
+def test_random_runs_are_found(spark):
+    import random
+    import string
+
+    rng = random.Random(4)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(30)]
+    words = ["InternationalisationOfEverything2Everywhere", "ggggggggggbbbbbbbbbb1111111111", "abcdefghijklmnopqrstuvwxyz0123456789", "the_quick_brown_fox_jumps_over_1_lazy_dog"]
+    docs = spark.createDataFrame([(i, f"é token here {x} end") for i, x in enumerate([*keys, *words, None, ""])], "doc_id bigint, text string")
+    found = docs.select("doc_id", "text", secrets.base_spans(F.col("text")).alias("base"), secrets.candidates(F.col("text")).alias("candidates")).cache()
+    cut = secrets.cuts(found)
+    got = {r["doc_id"]: (r["s"], r["t"]) for r in found.select("doc_id", secrets.joined(secrets.all_spans(F.col("base"), F.col("candidates"), cut)).alias("s"), secrets.redacted(F.col("text"), secrets.all_spans(F.col("base"), F.col("candidates"), cut)).alias("t")).collect()}
+    assert sum(got[i][0] == "random:13:53" for i in range(30)) >= 28
+    assert [got[i][0] for i in range(30, 36)] == [''] * 6
+    assert got[0][1] == "é token here [SECRET] end"
+
+
+def test_pipeline(spark, sf, empty):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, corpus_pipeline.written(stage(spark, docs, sf), name)
+        if name != "source_mixing":
+            assert docs.columns == before.columns
+        ids = {r["doc_id"] for r in docs.collect()}
+        if name == "quality_rules":
+            assert not ids & {202, 203, 204, 210} and len(ids & set(range(120))) > 100
+        if name == "simhash_dedup":
+            assert 0 in ids and not ids & {200, 206}
+        if name == "decontamination":
+            assert 209 not in ids
+        if name == "secret_scan":
+            text = next(r["text"] for r in docs.collect() if r["doc_id"] == 208)
+            assert "hunter2secret" not in text and "AKIA" not in text and "0123456789abcdef" not in text and text.count("[SECRET]") == 3
+    assert docs.count() > 0
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_entities_in_blocks():
+    assert webtext.blocks_of("<p>a &amp; b<p class='notice'>n<p>c<!-- x --><style>p</style>") == [("a & b", 1), ("n", 0), ("c", 1)]
+    assert html.unescape("&amp;") == "&"
