@@ -50,7 +50,9 @@ def parse_dates(text: Column) -> Column:
     def of(pattern: str, groups: tuple[int, ...]) -> Column:
         return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _one(m, pattern, groups)))
 
-    return F.sort_array(F.array_distinct(F.concat(*(of(p, g) for p, g in DATE_SHAPES))))
+    found = F.sort_array(F.array_distinct(F.concat(*(of(p, g) for p, g in DATE_SHAPES))))
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(r"\d[/.:-]\d|\d{8}"), found).when(text.isNotNull(), none)
 
 
 def dates_only(text: Column) -> Column:

@@ -86,12 +86,9 @@ def tokens(s: Column) -> Column:
 
 
 def separators(s: Column) -> Column:
-    """Separator characters of a text, in order, repeats included."""
-    chars = F.split(F.lower(s), "")
-    candidate = lambda c: ~c.rlike(f"^[a-z0-9_ {WORD_LETTERS}]$") & (c != "")
-    pairs = F.zip_with(chars, F.concat(F.array(F.lit("^")), chars), lambda c, p: F.struct(c.alias("c"), p.alias("p")))
-    hit = F.filter(pairs, lambda z: z["c"].isNotNull() & candidate(z["c"]) & (F.call_function("contains", F.lit(ATTACHED), z["c"]) | (z["p"] == " ")))
-    return F.transform(hit, lambda z: z["c"])
+    """Separator characters of a text, in order, repeats included: attached ones, and whatever else is no letter or digit and follows a space."""
+    attached = "".join("\\" + c if c in ")]}" else c for c in ATTACHED)
+    return F.regexp_extract_all(F.lower(s), F.lit(f"[{attached}]|(?<= )[^a-z0-9_ {WORD_LETTERS}]"), F.lit(0))
 
 
 def human_bytes(n: float) -> str:

@@ -59,11 +59,11 @@ def _swapped(s: Column) -> Column:
     return F.translate(s, ".,", ",.")
 
 
-def cell_tests() -> dict[str, Column]:
-    """Whether a cell speaks for each hypothesis that counts cells."""
+def cell_tests(dates: Column | None = None) -> dict[str, Column]:
+    """Whether a cell speaks for each hypothesis that counts cells. dates: the dates of its text, if they are a column already."""
     kind, s, x, fmt = F.col("cell_type"), F.col("value_string"), F.col("value_numeric"), F.upper("data_format")
     text, number = (kind == "string") & ~F.coalesce(F.col("value_rich_text") != "", F.lit(False)), kind == "numeric"
-    dates = parse_dates(s)
+    dates = parse_dates(s) if dates is None else dates
     day = F.exists(dates, lambda d: (F.length(d) == 10) & ~F.exists(dates, lambda t: (F.length(t) > 10) & t.startswith(d)))
     return {
         "bool": kind == "boolean",
@@ -129,9 +129,10 @@ def multi_scores(table: DataFrame) -> DataFrame:
 
 def scores(table: DataFrame) -> DataFrame:
     """(key, hypothesis, score, rank, ordinal) of every hypothesis that a column's cells admit."""
-    share = {n: F.avg(F.coalesce(t, F.lit(False)).cast("double")).alias(n) for n, t in cell_tests().items()}
+    share = {n: F.avg(F.coalesce(t, F.lit(False)).cast("double")).alias(n) for n, t in cell_tests(F.col("__dates")).items()}
     kinds = {k: F.max(F.coalesce(c, F.lit(False))).alias(f"has_{k}") for k, c in {"string": F.col("cell_type") == "string", "numeric": F.col("cell_type") == "numeric", "boolean": F.col("cell_type") == "boolean", "format": F.coalesce(jtrim(F.col("data_format")) != "", F.lit(False))}.items()}
-    shares = table.groupBy(*KEY).agg(*share.values(), *kinds.values())
+    dated = table.withColumn("__dates", F.when(F.col("cell_type") == "string", parse_dates(F.col("value_string"))))
+    shares = dated.groupBy(*KEY).agg(*share.values(), *kinds.values())
     wide = shares.join(string_scores(string_items(table)), KEY, "left").join(multi_scores(table), KEY, "left")
     value = {n: F.col(n) for n, _ in HYPOTHESES if n in share or n in ("str_bool", "multi_resources", "multi_int")} | {"str_literal": 1 - F.col("dup"), "str_resource": F.col("dup")}
     gate = lambda n: F.col("has_boolean") if n == "bool" else F.col("has_numeric") if n.startswith("num_") else F.col("has_format") if n.startswith("format_") else F.col("has_string")
