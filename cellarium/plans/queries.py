@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.functions import parse, text
+from cellarium.functions.registry import descriptions, if_regex_else, split_index
 from cellarium.operators import cells as C
 from cellarium.operators import entities as N
 from cellarium.operators import graph as G
@@ -13,6 +14,7 @@ from cellarium.operators import infer as I
 from cellarium.operators import match as M
 from cellarium.operators import profile as P
 from cellarium.operators import richtext as R
+from cellarium.operators.compare import evaluated
 from cellarium.plans.tables import JTRIM, read, sheets, sql_sheets
 from cellarium.sources.tables import evaluation_table
 
@@ -470,3 +472,22 @@ def rich_text_unformatted(spark: SparkSession, sf: str) -> DataFrame:
 def evaluation_rows(spark: SparkSession, sf: str) -> DataFrame:
     totals = G.micro_totals(G.confusion(*_perturbed(spark, sf), ["cell"]).withColumn("name", F.lit("nation")), ["name"])
     return evaluation_table(totals.withColumnRenamed("f_score", "f-score"))
+
+
+@query("""SELECT sheet, tp, fp, fn, tp / (tp + fn)::DOUBLE AS accuracy, tp / (tp + fp)::DOUBLE AS "precision", tp / (tp + fn)::DOUBLE AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 9) AS f_score FROM (SELECT 'nation' AS sheet, 3 * count(*) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn FROM nation)""")
+def compared_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Produced triples under other names agree with the expected ones in full."""
+    table, winners = _geo(spark, sf)
+    own = table.filter("sheet = 'nation'")
+    triples = G.type_triples(own).unionByName(G.value_triples(own, winners)).filter("sheet = 'nation'")
+    return evaluated(G.renamed(triples, "x"), triples).withColumn("f_score", F.round("f_score", 9))
+
+
+@query("SELECT p_partkey, string_split(p_name, ' ')[1] AS first, CASE WHEN regexp_matches(p_brand, '[0-4]$') THEN 'low' ELSE 'high' END AS half FROM part")
+def conditional_values(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").select("p_partkey", split_index(F.col("p_name"), " ", 0).alias("first"), if_regex_else(F.col("p_brand"), "[0-4]$", F.lit("low"), F.lit("high")).alias("half"))
+
+
+@query()
+def function_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    return descriptions(spark)
