@@ -146,23 +146,48 @@ def anchored(prints: DataFrame, lanes: list[Column], keep: list[str]) -> DataFra
     return rows.select(*keep, "half", F.explode(F.concat(own, near)).alias("a")).select((F.col("a.anchor") * len(parts) + F.col("half")).alias("anchor"), *keep, "a.home")
 
 
+def _limits(distance: int) -> list[int]:
+    """Distances by which a forest grows, so that its links are close ones."""
+    return [distance] if distance <= 8 else [distance * k // 8 for k in (4, 5, 6, 7, 8)]
+
+
+def _thinned(left: np.ndarray, right: np.ndarray, bits: np.ndarray, n: int, distance: int) -> np.ndarray:
+    """Indices of links between rows 0 to n - 1 that span what all of them join, the closest first and then those to the least row."""
+    root = np.arange(n)
+    out = []
+    for limit in _limits(distance):
+        own = np.flatnonzero(bits <= limit)
+        while len(own):
+            ends = np.sort(np.column_stack([root[left[own]], root[right[own]]]), axis=1)
+            own, ends = own[ends[:, 0] != ends[:, 1]], ends[ends[:, 0] != ends[:, 1]]
+            order = np.lexsort((ends[:, 0], ends[:, 1]))
+            high, first = np.unique(ends[order, 1], return_index=True)
+            out.append(own[order[first]])
+            root[high] = ends[order[first], 0]
+            while (root != root[root]).any():
+                root = root[root]
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
 def _forest(fps: np.ndarray, home: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between fingerprints (rows of lanes) of which one is at home, the closest first."""
     root = np.arange(len(fps))
     out: list[tuple[int, int]] = []
-    for limit in sorted({distance // 2, distance * 3 // 4, distance}) if distance > 8 else [distance]:
+    for limit in _limits(distance):
         for i in np.flatnonzero(home):
             near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]).sum(1) <= limit)
             roots, first = np.unique(root[near], return_index=True)
             if len(roots) > 1:
                 out += [(i, j) for j in near[first[roots != root[i]]]]
                 root[np.isin(root, roots)] = roots[0]
+        if not root.any():
+            break
     ends = fps[:, 0].view(np.int64)
     return [(int(ends[i]), int(ends[j])) for i, j in out if ends[i] != ends[j]]
 
 
 def _linker(lanes: list[str], distance: int, at_home: bool):
-    """A function from batches of rows (key, part, *lanes, home), sorted by key and part, to their links."""
+    """A function from batches of rows (key, part, *lanes, home), sorted by key, part and first lane, to links that span theirs."""
     names = ["key", "part", *lanes, *(["home"] if at_home else [])]
 
     def edges(key: np.ndarray, part: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
@@ -170,19 +195,24 @@ def _linker(lanes: list[str], distance: int, at_home: bool):
         home = rest[-1].astype(bool) if at_home else np.ones(len(key), bool)
         change = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         size = np.diff(np.r_[change, len(key)])
-        left, right = [], []
+        lefts, rights, bits = [], [], []
         small = np.repeat(size <= 32, size)
         run = np.repeat(np.arange(len(size)), size)
         for s in range(1, min(32, int(size.max()))):
-            hit = (run[s:] == run[:-s]) & small[s:] & (home[s:] | home[:-s])
-            hit[hit] = np.bitwise_count(fp[s:][hit] ^ fp[:-s][hit]).sum(1) <= distance
-            hit[hit] = fp[s:, 0][hit] != fp[:-s, 0][hit]
-            left.append(fp[s:, 0][hit])
-            right.append(fp[:-s, 0][hit])
+            hit = np.flatnonzero((run[s:] == run[:-s]) & small[s:] & (home[s:] | home[:-s]))
+            differ = np.bitwise_count(fp[hit + s] ^ fp[hit]).sum(1)
+            close = differ <= distance
+            lefts.append(hit[close] + s)
+            rights.append(hit[close])
+            bits.append(differ[close])
+        none = np.zeros(0, np.int64)
+        left, right = np.concatenate([none, *lefts]), np.concatenate([none, *rights])
+        kept = _thinned(left, right, np.concatenate([none, *bits]), len(key), distance)
+        left, right = fp[left[kept], 0], fp[right[kept], 0]
         big = [e for r in np.flatnonzero(size > 32) for e in _forest(fp[change[r] : change[r] + size[r]], home[change[r] : change[r] + size[r]], distance)]
-        a = np.concatenate([*left, np.array([x for x, _ in big], np.int64).view(np.uint64)]).view(np.int64)
-        b = np.concatenate([*right, np.array([x for _, x in big], np.int64).view(np.uint64)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+        a = np.concatenate([left, np.array([x for x, _ in big], np.int64).view(np.uint64)]).view(np.int64)
+        b = np.concatenate([right, np.array([x for _, x in big], np.int64).view(np.uint64)]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["src", "dst"])
 
     def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * len(names)
@@ -208,7 +238,7 @@ def links(rows: DataFrame, lanes: list[str], distance: int, at_home: bool, chunk
     part = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.least(j, own) * F.col("parts") + F.greatest(j, own)).cast("bigint")))
     dealt = rows.join(busy, "anchor").select(F.col("anchor").alias("key"), F.explode(part).alias("part"), *lanes, *(["home"] if at_home else []))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_linker(lanes, distance, at_home), "src bigint, dst bigint")
+    return dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part", lanes[0]).mapInArrow(_linker(lanes, distance, at_home), "src bigint, dst bigint")
 
 
 def exact_links(each: DataFrame, chunk: int = CHUNK) -> DataFrame:
