@@ -43,6 +43,24 @@ def test_paraphrases(spark):
     assert {r["doc_id"] for r in hits if r["n"]} == {1, 3}
 
 
+def test_long_items(spark):
+    """Copies of items far longer than a window are found: verbatim, and with a fifth of their words replaced."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    bench = [[word() for _ in range(n)] for n in (60, 110, 150, 300, 150, 300)]
+    rows = []
+    for i, w in enumerate(bench):
+        around = lambda: [word() for _ in range(rng.randint(40, 70))]
+        edited = [word() if k % 5 == 2 else x for k, x in enumerate(w)]
+        rows += [(i, " ".join(around() + w + around())), (i + 100, " ".join(around() + edited + around())), (i + 200, " ".join(around() + w[: len(w) // 2]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    space = decontaminate.fit(docs.filter("doc_id < 100"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench)], "item_id bigint, text string"))
+    hits = docs.select("doc_id", F.explode(decontaminate.hits_of(spark, space, F.col("text"))).alias("h")).collect()
+    assert {(r["doc_id"], r["h"]["item"]) for r in hits} == {(i + d, i) for i in range(len(bench)) for d in (0, 100)}
+
+
 def test_lcs_is_exact():
     items = [w.split() for w in ("a b c d e f g h", "x y x y x y z z")]
     items = [[x.encode() for x in w] for w in items]
