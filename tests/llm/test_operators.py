@@ -61,6 +61,34 @@ def test_long_items(spark):
     assert {(r["doc_id"], r["h"]["item"]) for r in hits} == {(i + d, i) for i in range(len(bench)) for d in (0, 100)}
 
 
+def _leaks(spark, tmp_path, docs, bench):
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(r["doc_id"], r["item_id"]) for r in registry.QUERIES["op1_latent_retrieval"](spark, str(tmp_path)).collect()]
+    assert len(rows) == len(set(rows))
+    kept = decontaminate.decontaminate_stage(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in rows}
+    return set(rows)
+
+
+def test_templated_and_short_items(spark, tmp_path):
+    """Verbatim copies of items with few words of their own, of short ones and of one word are found, and no others."""
+    names = [a + b for a in ("ka", "lo", "mi", "ru", "ta") for b in ("bor", "din", "fen", "gul", "hax", "jep")]
+    bench = [(i, f"What is the capital city of the country called {x}?") for i, x in enumerate(names)]
+    bench += [(100, "Name seven wonders"), (101, "Zyzzyva"), (102, "What is the capital"), (103, " ?! ")]
+    docs = [(1, f"x y what is the CAPITAL city of the country called {names[4]} z"), (2, "the capital city of the country called " + names[5]), (3, "so name seven wonders"), (4, "name seven other wonders"), (5, "a zyzzyva."), (6, None), (7, "seven wonders name"), (8, "What is the capital city of the country called")]
+    assert _leaks(spark, tmp_path, docs, bench) == {(1, 4), (1, 102), (3, 100), (5, 101), (8, 102)}
+
+
+def test_repeated_items(spark, tmp_path):
+    """Items that the benchmark repeats, under one id or several, are found once for each id."""
+    bench = [(i, t) for i, t in enumerate(BENCHMARK) for _ in range(5)] + [(50, BENCHMARK[2])]
+    words = BENCHMARK[1].split()
+    changed = " ".join("other" if i % 10 == 4 else w for i, w in enumerate(words))
+    docs = [(1, "a b " + BENCHMARK[0] + " c"), (2, "a b " + changed + " c"), (3, BENCHMARK[2]), (4, "a b c")]
+    assert _leaks(spark, tmp_path, docs, bench) == {(1, 0), (2, 1), (3, 2), (3, 50)}
+
+
 def test_lcs_is_exact():
     items = [w.split() for w in ("a b c d e f g h", "x y x y x y z z")]
     items = [[x.encode() for x in w] for w in items]
