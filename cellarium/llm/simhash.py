@@ -5,8 +5,9 @@ or fewer; no link is lost. similar links texts whose sets of five-word shingles
 more. At that similarity an eighth of all fingerprint bits differ, so it searches with a longer
 fingerprint of two-word shingles, in which two like texts differ less: one of its 32-bit parts most
 likely differs in two bits or fewer, and then both texts meet at an anchor of that part. Pairs that meet
-are compared by 128 bits of five-word shingles, and the links left by 640 bits, which decide: a pair of
-similarity 0.8 is found in 19 of 20 cases, one of 0.7 in three of 20, one of 0.6 in none.
+are compared by 128 bits of five-word shingles, and the links left by 640 bits. What passes is decided
+by the five-word shingle sets themselves (as 32-bit hashes): no link is below SIMILARITY. Texts whose first
+64 bits are equal count as one.
 
 Two fingerprints of 64 bits that differ in DISTANCE bits or fewer differ in at most half of that in one
 of their 32-bit halves. In a half the anchors are a covering code: the Hamming code of length 31 with
@@ -37,13 +38,14 @@ SHINGLE = 3
 DISTANCE = 3
 SEED = 42
 CHUNK = 4096
-#: Search by two-word shingles in 64-bit lanes of two parts each; comparison by the first lanes of five-word shingles, decision by all.
+#: Search by two-word shingles in 64-bit lanes of two parts each; comparison by the first lanes of five-word shingles, then by all.
 SEARCH_SHINGLE, SEARCH_LANES = 2, 6
 CHECK_SHINGLE, CHECK_LANES, COMPARED_LANES = 5, 10, 2
 #: Of 128 bits. Texts of five-word similarity 0.8 differ in 19 on average (standard deviation 4).
 COMPARED_DISTANCE = 28
-#: Of 640 bits. Texts of five-word similarity 0.8 differ in 97 on average (standard deviation 9).
-CHECK_DISTANCE = 112
+#: Of 640 bits. Texts of five-word similarity 0.8 differ in 97 on average (standard deviation 9); the sets decide.
+CHECK_DISTANCE = 128
+SIMILARITY = 0.8
 _LANE, _STEP = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 BITS = 31
 _POSITIONS = 4096
@@ -89,6 +91,16 @@ def _bits(h: np.ndarray, lane: int) -> int:
     return int(np.packbits(totals * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
+def _shingles(own: np.ndarray, shingle: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text of word hashes."""
+    width = min(shingle, len(own))
+    n = len(own) - width + 1
+    h = np.zeros(n, np.uint64)
+    for j in range(width):
+        h = h * np.uint64(_STEP) + own[j : j + n]
+    return np.unique(h)
+
+
 def sketch(raw: bytes | None) -> list[int]:
     """The check lanes, then the search lanes, of one whole text in UTF-8; zeros where it has no words."""
     import xxhash
@@ -99,12 +111,7 @@ def sketch(raw: bytes | None) -> list[int]:
     own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
     out = []
     for shingle, lanes in ((CHECK_SHINGLE, CHECK_LANES), (SEARCH_SHINGLE, SEARCH_LANES)):
-        width = min(shingle, len(own))
-        n = len(own) - width + 1
-        h = np.zeros(n, np.uint64)
-        for j in range(width):
-            h = h * np.uint64(_STEP) + own[j : j + n]
-        h = np.unique(h)
+        h = _shingles(own, shingle)
         out += [_bits(h, len(out) + i) for i in range(lanes)]
     return out
 
@@ -120,6 +127,25 @@ def sketch_of(text: Column) -> Column:
     return lanes(text)
 
 
+def shingle_set(raw: bytes | None) -> np.ndarray:
+    """The distinct five-word shingles of one whole text in UTF-8, as 32-bit hashes."""
+    import xxhash
+
+    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in (raw or b"").lower().split()], np.uint64)
+    return np.unique((_shingles(own, CHECK_SHINGLE) >> np.uint64(32)).astype(np.uint32).view(np.int32)) if len(own) else np.zeros(0, np.int32)
+
+
+def shingle_set_of(text: Column) -> Column:
+    """The shingle set of a text column."""
+
+    @F.arrow_udf("array<int>")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shingle_set(t.as_py()) for t in texts.cast(pa.binary())], pa.list_(pa.int32()))
+
+    return sets(text)
+
+
 def _syndrome(x: Column) -> Column:
     """Hamming syndrome of the low 31 bits: the xor of the positions (1 to 31) of its ones."""
     out = F.lit(0)
@@ -257,6 +283,18 @@ def similar_links(each: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return pairs.join(one, "src").join(other, "dst").filter(bits <= CHECK_DISTANCE).select("src", "dst")
 
 
+def alike(pairs: DataFrame, each: DataFrame, docs: DataFrame) -> DataFrame:
+    """The (src, dst) pairs whose shingle sets are SIMILARITY alike or more; each has fp and the key (hash of the text) of one text of docs."""
+    pairs = written(pairs, "near_pairs")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct().join(each.select("fp", "key"), "fp")
+    ends = written(ends, "ends")
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = written(texts.select("key", shingle_set_of(F.col("text")).alias("set")).join(ends, "key").select("fp", "set"), "sets")
+    one, other = (sets.select(F.col("fp").alias(end), F.col("set").alias(f"{end}_set")) for end in ("src", "dst"))
+    both = F.size(F.array_intersect("src_set", "dst_set"))
+    return pairs.join(one, "src").join(other, "dst").filter(both >= SIMILARITY * (F.size("src_set") + F.size("dst_set") - both)).select("src", "dst")
+
+
 def classes(prints: DataFrame, link=exact_links) -> DataFrame:
     """(fp, component_id) from rows of doc_id, fp and what else link takes (the least of it per fp)."""
     other = [c for c in prints.columns if c not in ("doc_id", "fp")]
@@ -276,10 +314,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs, by about 0.8 of the five-word shingles or more."""
-    lanes = docs.select("doc_id", sketch_of(F.col("text")).alias("l"))
-    prints = written(lanes.select("doc_id", F.col("l")[0].alias("fp"), F.slice("l", 1, CHECK_LANES).alias("check"), F.slice("l", CHECK_LANES + 1, SEARCH_LANES).alias("search")), "sketches")
-    return prints.join(classes(prints, similar_links), "fp").select("doc_id", "fp", "component_id")
+    """(doc_id, fp, component_id) for each row of docs, joined by pairs of SIMILARITY of their five-word shingles or more."""
+    lanes = docs.select("doc_id", F.xxhash64("text").alias("key"), sketch_of(F.col("text")).alias("l"))
+    prints = written(lanes.select("doc_id", F.col("l")[0].alias("fp"), F.slice("l", 1, CHECK_LANES).alias("check"), F.slice("l", CHECK_LANES + 1, SEARCH_LANES).alias("search"), "key"), "sketches")
+    link = lambda each: alike(similar_links(each), each, docs)
+    return prints.join(classes(prints, link), "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,34 @@ def test_similar_texts_link(spark):
         assert len({find(x) for x in root}) == len(set(got.values()))
 
 
+def test_template_texts_stay(spark):
+    """Texts of one template, none 0.8 alike, are not chained into one class; pairs of 0.8 or more among them are joined."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6)))
+    base = [word() for _ in range(300)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in rng.sample(range(300), 6):
+            w[at] = word()
+        texts.append(w)
+    texts += [[*w[:297], word(), word(), word()] for w in texts[:10]]
+    sets = [shingles(" ".join(w)) for w in texts]
+    assert sum(similarity(sets[i], sets[j]) < 0.75 for i in range(150) for j in range(i)) > 0.9 * 150 * 149 / 2
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = [r["component_id"] for r in sorted(simhash.similar(rows).collect(), key=lambda r: r["doc_id"])]
+    assert len(set(root)) > 100 and len(set(got)) >= len(set(root))
+    assert all(got[150 + i] == got[i] for i in range(10))
+
+
 def test_components(spark):
     from cellarium.llm.components import components
 
