@@ -355,6 +355,30 @@ def test_template_texts_stay(spark):
     assert all(got[150 + i] == got[i] for i in range(10))
 
 
+def test_secrets_after_equals_signs(spark):
+    """Values of env files and query strings are masked, and their names stay."""
+    import base64
+    import random
+    import string
+
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+    rows, want = [], []
+    for i in range(20):
+        a, b, c, d = key(), key(), base64.b64encode(rng.randbytes(47)).decode(), key()
+        rows.append((2 * i, f"AWS_SECRET_ACCESS_KEY={a}\nexport DB_PASS={b}\nMODE=production-with-debug-output"))
+        rows.append((2 * i + 1, f"see https://a.example/x?sv=1&sig={c}&code={d} for it"))
+        want += [(2 * i, [a, b]), (2 * i + 1, [c, d])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = dict(rows)
+    found = {r["doc_id"]: {text[r["doc_id"]][c["start"] : c["end"]] for c in r["c"]} for r in docs.select("doc_id", secrets.candidates(F.col("text")).alias("c")).collect()}
+    assert sum(v in found[d] for d, values in want for v in values) >= 76
+    masked = dict((r["doc_id"], r["text"]) for r in secrets.secrets_stage(spark, docs, "").collect())
+    assert sum(v not in masked[d] for d, values in want for v in values) >= 72
+    assert all(n in masked[d] for d in range(0, 40, 2) for n in ("AWS_SECRET_ACCESS_KEY=", "DB_PASS=", "MODE=production-with-debug-output"))
+    assert all("?sv=1&sig=" in masked[d] and "&code=" in masked[d] for d in range(1, 40, 2))
+
+
 def test_components(spark):
     from cellarium.llm.components import components
 
