@@ -32,33 +32,110 @@ def test_decontamination(spark, sf):
     assert got == {(209, 0)}
 
 
+def latent_hits(spark, docs, space, latent=True):
+    """(doc_id, item, cosine) that a space finds in rows of doc_id and text."""
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").select("doc_id", F.explode(decontaminate.hits_of(spark, space, F.col("text"))).alias("h")).collect()
+    return {(r["doc_id"], r["h"]["item"]) for r in rows if not latent or r["h"]["cosine"] is not None}
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """A corpus of 600 texts over 4,000 words, items of 12 to 2,000 words, and texts that hold them whole, a tenth or a fifth changed, or by half."""
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(4000)]
+    some = lambda n: [words[min(int(rng.paretovariate(0.6)), 4000) - 1] if rng.random() < 0.5 else rng.choice(words) for _ in range(n)]
+    corpus = [(i, " ".join(some(rng.randint(60, 200)))) for i in range(600)]
+    items = [some(n) for n in (12, 20, 33, 60, 90, 120, 200, 400, 2000) for _ in range(3)]
+    docs = []
+    for i, w in enumerate(items):
+        tenth, fifth = ([rng.choice(words) if rng.random() < share else x for x in w] for share in (0.1, 0.2))
+        for k, x in enumerate((w, tenth, fifth, w[: len(w) // 2])):
+            docs.append((100 * k + i, " ".join(some(rng.randint(0, 90)) + x + some(rng.randint(0, 90)))))
+    space = decontaminate.fit(spark.createDataFrame(corpus, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string"))[0]
+    order = {i: space.ids[i][0] for i in range(len(space.ids))}
+    return space, items, docs, order
+
+
+def test_items_of_all_lengths_are_found_by_latent_search(spark, planted):
+    """Against the longest common subsequence with every text: all pairs of LCS_SHARE are found but for the few whose answer is gone, and no other."""
+    space, items, docs, order = planted
+    got = {(d, order[i]) for d, i in latent_hits(spark, docs, space)}
+    want = {(d, i) for d, t in docs for i, w in enumerate(items) if i == d % 100 and longest_common(w, t.split()) >= decontaminate.LCS_SHARE * len(w)}
+    assert {(i + 100 * k, i) for k in (0, 1) for i in range(len(items))} <= want
+    assert got <= want and len(got) >= 0.97 * len(want), want - got
+    assert {(i, i) for i in range(len(items))} <= got
+
+
+def test_latent_space_is_the_corpus(spark, planted):
+    """Without the corpus's singular vectors, or with those of another corpus's words, the latent search finds less or nothing."""
+    import numpy as np
+
+    space, items, docs, order = planted
+    whole = [(d, t) for d, t in docs if d < 100]
+    none = decontaminate.Space(space.ids, space.items, space.idf, np.zeros((decontaminate.FEATURES, 0)))
+    other = decontaminate.Space(space.ids, space.items, space.idf, np.eye(decontaminate.FEATURES)[:, :3])
+    assert len(latent_hits(spark, whole, space)) == len(items) and not latent_hits(spark, whole, none)
+    assert latent_hits(spark, docs, other) != latent_hits(spark, docs, space)
+    g = space.basis.T @ space.basis
+    assert np.abs(g - np.diag(np.diag(g))).max() < 1e-3 * np.diag(g).max()  # scaled singular vectors
+
+
+def test_randomised_svd_against_exact(spark, planted):
+    """The basis holds nearly the energy of the TF-IDF passages that their first singular vectors hold."""
+    import numpy as np
+
+    docs = planted[2]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    n, passages = decontaminate.frequencies(df)
+    words = [decontaminate.words_of(t.encode()) for _, t in docs]
+    assert passages == sum(-(-len(w) // decontaminate.WINDOW) for w in words) and n.sum() == sum(map(len, words))
+    idf = decontaminate.weights(n, passages)
+    rows = []
+    for w in words:
+        for k in range(0, len(w), decontaminate.WINDOW):
+            x = np.zeros(decontaminate.FEATURES)
+            h = decontaminate._hashes(w[k : k + decontaminate.WINDOW])
+            for at, sign, i in zip(*decontaminate.places(h), idf[h % np.uint64(decontaminate.SLOTS)], strict=True):
+                np.add.at(x, at, sign * i)
+            rows.append(x / np.linalg.norm(x))
+    exact = np.linalg.svd(np.array(rows), full_matrices=False)
+    basis = decontaminate.latent_basis(df, idf, passages, 64)
+    q = basis / np.linalg.norm(basis, axis=0)
+    assert ((np.array(rows) @ q) ** 2).sum() > 0.93 * (exact[1][:64] ** 2).sum()
+
+
 def test_paraphrases(spark):
     """Leaks with a tenth of their words replaced are found; texts of the same words in another order are not."""
     words = BENCHMARK[1].split()
     changed = " ".join("other" if i % 10 == 4 else w for i, w in enumerate(words))
-    docs = spark.createDataFrame([(1, "a b c " + changed + " d e"), (2, " ".join(sorted(words))), (3, BENCHMARK[1])], "doc_id bigint, text string")
+    docs = [(1, "a b c " + changed + " d e"), (2, " ".join(sorted(words))), (3, BENCHMARK[1])]
+    corpus = spark.createDataFrame(docs + [(d or 0, t) for d, t, *_ in documents()], "doc_id bigint, text string")
     bench = spark.createDataFrame(list(enumerate(BENCHMARK)), "item_id bigint, text string")
-    space = decontaminate.fit(docs, bench)
-    hits = docs.select("doc_id", F.size(decontaminate.hits_of(spark, space, F.col("text"))).alias("n")).collect()
-    assert {r["doc_id"] for r in hits if r["n"]} == {1, 3}
+    space = decontaminate.fit(corpus, bench)[0]
+    assert {d for d, _ in latent_hits(spark, docs, space)} == {1, 3}
 
 
-def test_long_items(spark):
-    """Copies of items far longer than a window are found: verbatim, and with a fifth of their words replaced."""
-    import random
-
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
-    bench = [[word() for _ in range(n)] for n in (60, 110, 150, 300, 150, 300)]
-    rows = []
-    for i, w in enumerate(bench):
-        around = lambda: [word() for _ in range(rng.randint(40, 70))]
-        edited = [word() if k % 5 == 2 else x for k, x in enumerate(w)]
-        rows += [(i, " ".join(around() + w + around())), (i + 100, " ".join(around() + edited + around())), (i + 200, " ".join(around() + w[: len(w) // 2]))]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    space = decontaminate.fit(docs.filter("doc_id < 100"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench)], "item_id bigint, text string"))
-    hits = docs.select("doc_id", F.explode(decontaminate.hits_of(spark, space, F.col("text"))).alias("h")).collect()
-    assert {(r["doc_id"], r["h"]["item"]) for r in hits} == {(i + d, i) for i in range(len(bench)) for d in (0, 100)}
+def test_blocks_of_items(spark):
+    """A benchmark in blocks gives what it gives at once; null item ids and repeated items are kept apart."""
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in documents()] + [(500, "x " + BENCHMARK[3] + " y " + BENCHMARK[5])], "doc_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(BENCHMARK), (None, BENCHMARK[3]), (None, BENCHMARK[3]), (70, BENCHMARK[3]), (71, None), (72, " ")], "item_id bigint, text string")
+    found = []
+    for block in (2, 100):
+        spaces = decontaminate.fit(docs, bench, block=block)
+        assert (len(spaces) > 1) == (block == 2)
+        found.append(sorted(str((r["doc_id"], r["item_id"])) for r in decontaminate.leaks(docs, spaces, bench).collect()))
+    assert found[0] == found[1] == sorted(map(str, [(209, 0), (500, 3), (500, 5), (500, 70), (500, None)]))
 
 
 def _leaks(spark, tmp_path, docs, bench):
@@ -85,17 +162,16 @@ def test_repeated_items(spark, tmp_path):
     bench = [(i, t) for i, t in enumerate(BENCHMARK) for _ in range(5)] + [(50, BENCHMARK[2])]
     words = BENCHMARK[1].split()
     changed = " ".join("other" if i % 10 == 4 else w for i, w in enumerate(words))
-    docs = [(1, "a b " + BENCHMARK[0] + " c"), (2, "a b " + changed + " c"), (3, BENCHMARK[2]), (4, "a b c")]
+    docs = [(1, "a b " + BENCHMARK[0] + " c"), (2, "a b " + changed + " c"), (3, BENCHMARK[2]), (4, "a b c"), *((100 + i, t) for i, (_, t, *_) in enumerate(documents()[:60]))]
     assert _leaks(spark, tmp_path, docs, bench) == {(1, 0), (2, 1), (3, 2), (3, 50)}
 
 
 def test_lcs_is_exact():
-    items = [w.split() for w in ("a b c d e f g h", "x y x y x y z z")]
-    items = [[x.encode() for x in w] for w in items]
-    vocab = tuple(decontaminate.vocabulary(items))
     import numpy as np
 
-    space = decontaminate.Space([0, 1], items, vocab, np.ones(len(vocab)), 10, np.zeros((len(vocab), 4)), 4)
+    items = [w.split() for w in ("a b c d e f g h", "x y x y x y z z")]
+    items = [[x.encode() for x in w] for w in items]
+    space = decontaminate.Space([[0], [1]], items, np.ones(decontaminate.SLOTS, np.float32), np.zeros((decontaminate.FEATURES, 0)))
 
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
