@@ -562,24 +562,78 @@ def test_main_text(spark, sf):
     assert rows[100] == rows[101] == "" and rows[102] == "A\nB\nC" and rows[103] == "plain <text> here"
 
 
-def test_repeats_are_exact():
+def repeated_substrings(streams, depth, need):
+    """For each stream: which tokens lie in substrings of `depth` tokens or more that `need` streams have, by a sorted suffix array with longest common prefixes."""
+    text = [(w, i) for i, s in enumerate(streams) for w in (*s, f"\x00{i}")]
+    words, page = [w for w, _ in text], [i for _, i in text]
+    order = sorted(range(len(text)), key=lambda k: words[k : k + 80])
+    covered = [False] * len(text)
+
+    def common(a, b):
+        n = 0
+        while a + n < len(text) and b + n < len(text) and words[a + n] == words[b + n] and words[a + n][0] != "\x00":
+            n += 1
+        return n
+
+    run = order[:1]
+    for before, now in [*zip(order, order[1:], strict=False), (None, None)]:
+        if now is not None and common(before, now) >= depth:
+            run.append(now)
+            continue
+        if len({page[k] for k in run}) >= need:
+            for k in run:
+                covered[k : k + depth] = [True] * depth
+        run = [now]
+    out, at = [], 0
+    for s in streams:
+        out.append(covered[at : at + len(s)])
+        at += len(s) + 1
+    return out
+
+
+def test_repeats_against_a_suffix_array(spark):
+    """Pages that structure cannot clean, on a host of many pages and a small one: the text is what a whole suffix array leaves, however pages are dealt."""
     import random
 
     rng = random.Random(2)
-    streams = [[rng.randrange(6) for _ in range(rng.randrange(0, 60))] for _ in range(12)]
-    for s in streams[:10]:
-        s[5:5] = [7, 8, 9, 7]
-    got = webtext.repeated(streams, 4, 0.5, 3)
-    pages_of = collections.defaultdict(set)
-    for i, s in enumerate(streams):
-        for k in range(len(s) - 3):
-            pages_of[tuple(s[k : k + 4])].add(i)
-    for i, s in enumerate(streams):
-        want = [False] * len(s)
-        for k in range(len(s) - 3):
-            if len(pages_of[tuple(s[k : k + 4])]) >= 6:
-                want[k : k + 4] = [True] * 4
-        assert got[i].tolist() == want
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(2))
+    notice = [" ".join(word() for _ in range(14)) for _ in range(4)]
+    rows, streams = [], {}
+    for host, n in (("a.example", 45), ("b.example", 9), ("c.example", 3)):
+        for i in range(n):
+            blocks = [" ".join(word() for _ in range(rng.randint(5, 30))) for _ in range(4)]
+            blocks.insert(rng.randrange(5), notice[i % 2] if host != "b.example" else notice[2])
+            if i % 3 == 0:
+                blocks[0] += " " + notice[3]
+            streams.setdefault(host, []).append((len(rows), blocks))
+            rows.append((len(rows), f"https://{host}/{i}", "<body>" + "".join(f"<div>{b}</div>" for b in blocks) + "</body>"))
+    rows += [(*rows[0][:2], rows[0][2])] * 2
+    want = {}
+    for own in streams.values():
+        need = max(webtext.MIN_PAGES, -(-len(own) * 3 // 10))
+        covered = repeated_substrings([" ".join(b).split() for _, b in own], webtext.DEPTH, need) if len(own) >= webtext.MIN_PAGES else [[False] * 999] * len(own)
+        for (i, blocks), c in zip(own, covered, strict=True):
+            kept, at = [], 0
+            for b in blocks:
+                size = len(b.split())
+                if sum(c[at : at + size]) < webtext.COVERED * size:
+                    kept.append(b)
+                at += size
+            want[i] = "\n".join(kept)
+    for parts in (1, 7):
+        got = webtext.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts)).collect()
+        assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+    assert not any(notice[k] in want[i] for i in range(45) for k in (0, 1)) and not any(notice[2] in want[i] for i in range(45, 54)) and all(notice[0] in want[i] or notice[1] in want[i] for i in range(54, 57))
+
+
+def test_articles_inside_marked_elements():
+    text = lambda page: "\n".join(webtext.best_blocks(webtext.blocks_of(page))[0])
+    article = "<article><h1>T</h1><p>one</p></article>"
+    for wrapper in ("<body class='sidebar-right nav-open'>{}</body>", "<div class='page with-sidebar'>{}</div>", "<div class='sidebar-left'>{}</div>", "<div id='menu'><div>{}</div></div>", "<form>{}</form>"):
+        assert text("<html>" + wrapper.format(article + "<div class='sidebar-right'>aside</div><div class='ad'>buy</div>")) == "T\none"
+        assert text("<html>" + wrapper.format("<nav>n</nav><main><p>one</p></main>")) == "one"
+    assert text("<article><p>one</p></article><section class='comments'><article><p>nice</p></article><article class='comment'>x</article></section>") == "one"
+    assert text("<body class='has-sidebar'><div class='content-with-sidebar'><p>one</p></div><div class='site-footer'>f</div><div class='cookie-notice'>c</div></body>") == "one"
 
 
 def test_mixing_against_brute_force(spark, sf):
