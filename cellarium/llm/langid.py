@@ -3,12 +3,15 @@
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed
 against each automaton into longest matches (a phrase ends at the first character with which it no
 longer occurs in the sample). Phrase counts are normalised by the logarithm of the sample's length; the
-language that needs fewest wins. Texts are parsed whole, in blocks of BLOCK characters that run through
-the automata side by side.
+language that needs fewest wins. Texts are parsed whole: blocks of BLOCK characters run through the
+automata side by side, each as if a phrase began with it; then the phrase that really reaches into a block is
+followed until it ends where one of the block's phrases ends too, from where on both agree. Languages are searched
+LANGUAGES_AT_ONCE at a time, so no task holds more automata, and none is left out.
 
 Defined results: null texts and texts without a letter give `und` with score 0. Without any labelled
 row every text is `und`. Ties go to the language first in alphabetical order. Repeated rows are
-predicted one by one, an empty table stays empty, and other columns are neither read nor changed.
+predicted one by one, an empty table stays empty, and other columns are neither read nor changed. Labelled
+texts longer than SAMPLE_LONGEST give their first SAMPLE_LONGEST characters to the sample.
 """
 
 from __future__ import annotations
@@ -22,18 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import table
+from cellarium.llm.common import table, written
 
 SAMPLE_CHARS = 40_000
 SAMPLE_DOCS = 120
 SAMPLE_LONGEST = 20_000
-MAX_LANGUAGES = 400
+LANGUAGES_AT_ONCE = 200
 BLOCK = 2048
+#: Characters times languages that are parsed at once.
+GRID = 16_000_000
 UNKNOWN = 0
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Transitions of the suffix automaton as a dense table (state, code) -> state, -1 for none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton, by state and code."""
     to: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -60,11 +66,47 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.full((len(to), alphabet), -1, np.int32)
-    for s, edges in enumerate(to):
-        for c, t in edges.items():
-            out[s, c] = t
-    return out
+    return to
+
+
+class Edges:
+    """Transitions as an open hash table from (state, code) to state: 12 bytes a slot, four slots or more an edge."""
+
+    def __init__(self, states: list[dict[int, int]], alphabet: int):
+        self.alphabet = alphabet
+        pairs = [(s * alphabet + c, t) for s, edges in enumerate(states) for c, t in edges.items()]
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        left = np.array([k for k, _ in pairs], np.int64)
+        value = np.array([t for _, t in pairs], np.int32)
+        at = self._slot(left)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = left[free]
+            own = self.keys[at] == left
+            self.to[at[own]] = value[own]
+            left, value, at = left[~own], value[~own], at[~own] + 1 & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _SPREAD) >> self.shift).view(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states that follow, -1 for none."""
+        key = (state * self.alphabet + code).astype(np.int64)
+        at = self._slot(key)
+        found = self.keys[at]
+        out = self.to[at]
+        other = np.flatnonzero(found != key)
+        out[other] = -1
+        other = other[found[other] >= 0]
+        while len(other):
+            at[other] = at[other] + 1 & self.mask
+            here = self.keys[at[other]]
+            hit = here == key[other]
+            out[other[hit]] = self.to[at[other[hit]]]
+            other = other[~hit & (here >= 0)]
+        return out
 
 
 def letters_only(text: str) -> str:
@@ -73,27 +115,26 @@ def letters_only(text: str) -> str:
 
 
 class Parser:
-    """The automata of all languages in one table, and the codes of the characters they know."""
+    """The automata of some languages in one table, and the codes of the characters they know."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
         known = sorted({c for _, s in samples for c in s} | {" "})
-        self.alphabet = len(known) + 1
-        self.lookup = np.full(0x110000, -1, np.int16)
+        self.lookup = np.full(0x110000, -1, np.int32)
         for i, c in enumerate(known):
             self.lookup[ord(c)] = i + 1
             up = c.upper()
             if len(up) == 1 and up.lower() == c:
                 self.lookup[ord(up)] = i + 1
         self.space = int(self.lookup[32])
-        tables, roots, base = [], [], 0
+        states: list[dict[int, int]] = []
+        roots = []
         for _, s in samples:
-            t = suffix_automaton([int(self.lookup[ord(c)]) for c in s], self.alphabet)
+            base = len(states)
             roots.append(base)
-            tables.append(np.where(t >= 0, t + base, -1))
-            base += len(t)
-        self.next = np.concatenate(tables).astype(np.int32).ravel()
-        self.roots = np.array(roots, np.int32)
+            states += [{c: t + base for c, t in edges.items()} for edges in suffix_automaton([int(self.lookup[ord(c)]) for c in s])]
+        self.edges = Edges(states, len(known) + 1)
+        self.roots = np.array(roots, np.int64)
         self.norm = np.array([math.log2(max(len(s), 2)) for _, s in samples])
 
     def codes(self, text: str) -> np.ndarray:
@@ -103,58 +144,83 @@ class Parser:
         strange = np.flatnonzero(out < 0)
         if len(strange):
             kinds, where = np.unique(points[strange], return_inverse=True)
-            out[strange] = np.array([UNKNOWN if chr(k).isalpha() else self.space for k in kinds.tolist()], np.int16)[where]
+            out[strange] = np.array([UNKNOWN if chr(k).isalpha() else self.space for k in kinds.tolist()], np.int32)[where]
         gap = out == self.space
         keep = ~gap
         keep[1:] |= gap[1:] & ~gap[:-1]
         return out[keep] if (~gap).any() else out[:0]
 
-    def phrases(self, blocks: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each block under each language. The heads of all blocks advance together, longest blocks first, so those that have ended drop off the end."""
-        n, k = len(blocks), len(self.langs)
+    def phrases(self, texts: list[np.ndarray], block: int = BLOCK) -> np.ndarray:
+        """Phrases of each text's codes under each language, (language, text)."""
+        k = len(self.langs)
+        owner = [i for i, codes in enumerate(texts) for _ in range(0, len(codes), block)]
+        blocks = [codes[at : at + block] for codes in texts for at in range(0, len(codes), block)]
+        n = len(blocks)
         order = np.argsort([-len(b) for b in blocks], kind="stable")
-        sizes = np.array([len(blocks[i]) for i in order])
-        grid = np.zeros((int(sizes[0]) if n else 0, n), np.int32)
+        sizes = np.array([len(blocks[i]) for i in order], np.int64)
+        grid = np.zeros((int(sizes[0]) if n else 0, n), np.int64)
         for column, i in enumerate(order):
             grid[: len(blocks[i]), column] = blocks[i]
-        state = np.repeat(self.roots[:, None], n, axis=1)
-        count = np.zeros((k, n), np.int32)
-        step, alphabet, root = self.next, self.alphabet, self.roots[:, None]
+        root = np.repeat(self.roots[:, None], n, axis=1)
+        state = root.copy()
+        begins = np.zeros((len(grid), k, n), bool)
+        # The heads of all blocks advance together, longest blocks first, so those that have ended drop off the end.
         live = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
         for t in range(len(grid)):
             m = live[t]
-            c = grid[t, :m]
-            at = step[state[:, :m] * alphabet + c]
+            now, c, own = state[:, :m].ravel(), np.tile(grid[t, :m], k), root[:, :m].ravel()
+            at = self.edges.step(now, c)
             lost = at < 0
             # A phrase begins at a root, where the one before ended with an unknown character, and at each mismatch.
-            count[:, :m] += lost | (state[:, :m] == root)
+            begins[t, :, :m] = (lost | (now == own)).reshape(k, m)
             if lost.any():
-                again = step[root * alphabet + c]
-                at = np.where(lost, np.where(again < 0, root, again), at)
-            state[:, :m] = at
-        out = np.empty((k, n), np.int32)
-        out[:, order] = count
+                miss = np.flatnonzero(lost)
+                again = self.edges.step(own[miss], c[miss])
+                at[miss] = np.where(again < 0, own[miss], again)
+            state[:, :m] = at.reshape(k, m)
+        column = np.empty(n, np.int64)
+        column[order] = np.arange(n)
+        count = begins.sum(0)
+        out = np.zeros((k, len(texts)), np.int64)
+        for b in range(n):
+            if b and owner[b] == owner[b - 1]:
+                self._joined(blocks[b], begins[:, :, column[b]], count[:, column[b]], state[:, column[b - 1]], state[:, column[b]])
+            out[:, owner[b]] += count[:, column[b]]
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        blocks: list[np.ndarray] = []
-        owner: list[int] = []
-        for i, text in enumerate(texts):
-            codes = self.codes(text) if text else np.empty(0, np.int16)
-            for at in range(0, len(codes), BLOCK):
-                blocks.append(codes[at : at + BLOCK])
-                owner.append(i)
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if not blocks or not self.langs:
-            return langs, scores
-        cost = np.zeros((len(texts), len(self.langs)))
-        np.add.at(cost, np.array(owner), self.phrases(blocks).T * self.norm)
-        for i in sorted(set(owner)):
-            best = int(cost[i].argmin())
-            langs[i] = self.langs[best]
-            rest = np.delete(cost[i], best)
-            scores[i] = float(1 - cost[i][best] / rest.min()) if len(rest) else 1.0
-        return langs, scores
+    def _joined(self, codes: np.ndarray, begins: np.ndarray, count: np.ndarray, entry: np.ndarray, end: np.ndarray) -> None:
+        """Corrects a block's counts and end states for the states in which its text enters it."""
+        left = np.flatnonzero(entry != self.roots)
+        now, counted, t = entry[left], np.zeros(len(left), np.int64), 0
+        while len(left) and t < len(codes):
+            c = np.full(len(left), codes[t], np.int64)
+            at = self.edges.step(now, c).astype(np.int64)
+            begun = (at < 0) | (now == self.roots[left])
+            agreed = begun & begins[t, left]
+            for j in np.flatnonzero(agreed):
+                count[left[j]] = counted[j] + begins[t : len(codes), left[j]].sum()
+            lost = at < 0
+            if lost.any():
+                again = self.edges.step(self.roots[left], c)
+                at = np.where(lost, np.where(again < 0, self.roots[left], again), at)
+            left, now, counted, t = left[~agreed], at[~agreed], (counted + begun)[~agreed], t + 1
+        count[left], end[left] = counted, now
+
+    def costs(self, texts: list[str | None]) -> np.ndarray:
+        """(text, language): phrases times the logarithm of the sample's length; infinite for texts without a letter."""
+        out = np.full((len(texts), len(self.langs)), np.inf)
+        each = [self.codes(t) if t else np.zeros(0, np.int32) for t in texts]
+        own, size = [], 0
+        for i, codes in enumerate(each):
+            if len(codes):
+                own.append(i)
+                size += len(codes) * len(self.langs)
+            if own and (size > GRID or i == len(each) - 1):
+                out[own] = self.phrases([each[j] for j in own]).T * self.norm
+                own, size = [], 0
+        if own:
+            out[own] = self.phrases([each[j] for j in own]).T * self.norm
+        return out
 
 
 @functools.lru_cache(1)
@@ -162,43 +228,63 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(samples)
 
 
-def learn(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int = SAMPLE_DOCS) -> tuple[tuple[str, str], ...]:
-    """(language, sample) pairs from columns doc_id, text and lang.
+def learn(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int = SAMPLE_DOCS, at_once: int = LANGUAGES_AT_ONCE) -> list[tuple[tuple[str, str], ...]]:
+    """(language, sample) pairs from columns doc_id, text and lang, `at_once` languages at a time.
 
-    Per language the `docs` documents first by a seeded hash, of at most SAMPLE_LONGEST characters, joined
-    and cut at `chars`: the bounded sample that the automata are fitted on.
+    Per language the `docs` documents first by a seeded hash, cut at SAMPLE_LONGEST characters, until twice
+    `chars` are reached, joined and cut at `chars`: the bounded sample that the automata are fitted on.
     """
-    fit = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, SAMPLE_LONGEST)).select("lang", "text", F.xxhash64(F.lit(20), "doc_id", "text").alias("h"))
-    first = fit.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs)
-    found: dict[str, list[str]] = {}
-    for row in first.orderBy("lang", "r").limit(docs * MAX_LANGUAGES).collect():
-        found.setdefault(row["lang"], []).append(letters_only(row["text"]))
-    samples = {lang: " ".join(filter(None, own))[:chars] for lang, own in found.items()}
-    return tuple((lang, s) for lang, s in sorted(samples.items()) if s)
+    own = F.substring("text", 1, SAMPLE_LONGEST)
+    fit = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", own.alias("text"), F.xxhash64(F.lit(20), "doc_id", "text").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    first = fit.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs)
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = written(first.withColumn("before", before).filter(F.col("before") < 2 * chars).select("lang", "r", "text"), "samples")
+    langs = sorted(r["lang"] for r in first.select("lang").distinct().collect())
+    out = []
+    for at in range(0, len(langs), at_once):
+        found: dict[str, list[str]] = {}
+        for row in first.filter(F.col("lang").isin(langs[at : at + at_once])).orderBy("lang", "r").collect():
+            found.setdefault(row["lang"], []).append(letters_only(row["text"]))
+        samples = {lang: " ".join(filter(None, texts))[:chars] for lang, texts in found.items()}
+        if any(samples.values()):
+            out.append(tuple((lang, s) for lang, s in sorted(samples.items()) if s))
+    return out
 
 
-def predict_udf(spark: SparkSession, samples: tuple[tuple[str, str], ...]):
-    """An Arrow function from a text to its language and score."""
+def cheapest_of(spark: SparkSession, samples: tuple[tuple[str, str], ...], text: F.Column) -> F.Column:
+    """(cost, lang, second) of a text column among some languages: the least cost, its language and the next cost; null without a letter."""
     sent = spark.sparkContext.broadcast(samples)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<cost:double,lang:string,second:double>")
     def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         parser = _parser(sent.value)
         for texts in batches:
-            langs: list[str] = []
-            scores: list[float] = []
-            group: list[str | None] = []
-            size = 0
-            for t in texts:
-                group.append(t.as_py())
-                size += len(group[-1] or "")
-                if size > 4_000_000:
-                    a, b = parser.predict(group)
-                    langs, scores, group, size = langs + a, scores + b, [], 0
-            a, b = parser.predict(group)
-            yield pa.StructArray.from_arrays([pa.array(langs + a, pa.string()), pa.array(scores + b, pa.float64())], names=["lang_pred", "score"])
-
-    return language
+            costs = parser.costs([t.as_py() for t in texts])
+            best = costs.argmin(1) if len(texts) else np.zeros(0, np.int64)
+            rows = np.arange(len(costs))
+            least = costs[rows, best]
+            costs[rows, best] = np.inf
+            second = costs.min(1) if len(texts) else least
+            none = ~np.isfinite(least)
+            kinds = [pa.array(least, pa.float64(), mask=none), pa.array([parser.langs[i] for i in best], pa.string(), mask=none), pa.array(second, pa.float64(), mask=none)]
+            yield pa.StructArray.from_arrays(kinds, names=["cost", "lang", "second"], mask=pa.array(none))
+
+    return language(text)
+
+
+def predicted(rows: DataFrame, parts: list[tuple[tuple[str, str], ...]], text: str = "text") -> DataFrame:
+    """rows, without the column text, with `p`: (lang_pred, score)."""
+    kept = [c for c in rows.columns if c != text]
+    none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    if not parts:
+        return rows.select(*kept, none.alias("p"))
+    each = rows.select(*kept, F.array_compact(F.array(*(cheapest_of(rows.sparkSession, samples, F.col(text)) for samples in parts))).alias("each"))
+    ranked = each.withColumn("each", F.array_sort("each"))
+    best = F.col("each")[0]
+    second = F.array_min(F.concat(F.array(best["second"]), F.transform(F.slice("each", 2, 1 << 30), lambda x: x["cost"])))
+    score = F.when(second < float("inf"), 1 - best["cost"] / second).otherwise(1.0)
+    return ranked.select(*kept, F.when(F.size("each") > 0, F.struct(best["lang"].alias("lang_pred"), score.alias("score"))).otherwise(none).alias("p"))
 
 
 def held_out() -> F.Column:
@@ -208,5 +294,5 @@ def held_out() -> F.Column:
 def op4_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, learnt from those not held out."""
     docs = table(spark, sf_dir, "documents")
-    samples = learn(docs.filter(~held_out()))
-    return docs.select("doc_id", held_out().alias("held_out"), predict_udf(spark, samples)(F.col("text")).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    parts = learn(docs.filter(~held_out()).select("doc_id", "text", "lang"))
+    return predicted(docs.select("doc_id", held_out().alias("held_out"), "text"), parts).select("doc_id", "held_out", "p.lang_pred", "p.score")

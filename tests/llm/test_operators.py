@@ -264,10 +264,39 @@ def test_phrases_are_longest_matches():
             n += 1
         return n
 
-    texts = ["abra band cadabra", "banana", "zzz abra z", "a"]
-    blocks = [parser.codes(t) for t in texts]
-    found = parser.phrases(blocks)
-    assert [[int(found[j, i]) for j in range(2)] for i in range(4)] == [[slow(t, s) for _, s in samples] for t in texts]
+    texts = ["abra band cadabra", "banana", "zzz abra z", "a", "abracadabra abra cad" * 3 + "zband and a ba", "banana band and a ban" * 2]
+    want = [[slow(t, s) for _, s in samples] for t in texts]
+    for block in (2048, 1, 2, 3, 7):  # phrases run on across blocks
+        assert parser.phrases([parser.codes(t) for t in texts], block).T.tolist() == want
+
+
+def test_phrases_cross_blocks_and_large_alphabets():
+    import random
+
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(6000)).strip()
+    long = " ".join(long.split())
+    wide = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20000))
+    parser = langid.Parser((("a", long), ("b", wide)))
+    assert parser.phrases([parser.codes(long[100:5600])])[0].tolist() == [1]
+    assert parser.phrases([parser.codes(wide[:9000])])[1].tolist() == [1]
+    assert parser.edges.keys.nbytes < 20_000_000
+    assert parser.costs([wide[500:600], long[5:90], None, "12"]).argmin(1).tolist()[:2] == [1, 0]
+
+
+def test_languages_beyond_one_part_and_long_texts(spark):
+    """No language is left out, whether its texts are all very long or it comes last; parts give what all languages at once give."""
+    langs = {f"l{i:02d}": "".join(chr(97 + (i * 7 + k * (i + 3)) % 26) for k in range(9)) for i in range(12)}
+    text = lambda w, n: " ".join(w[k % 5 : k % 5 + 4] for k in range(n))
+    rows = [(i, text(w, 8000 if lang == "l05" else 60), lang) for i, (lang, w) in enumerate(langs.items())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    tests = spark.createDataFrame([(i, text(w, 30)[3:]) for i, w in enumerate(langs.values())] + [(99, None), (98, "1 2")], "doc_id bigint, text string")
+    found = []
+    for at_once in (200, 5):
+        parts = langid.learn(docs, at_once=at_once)
+        assert sum(map(len, parts)) == 12
+        found.append({r["doc_id"]: (r["p"]["lang_pred"], r["p"]["score"]) for r in langid.predicted(tests, parts).collect()})
+    assert found[0] == found[1] and all(found[0][i][0] == lang for i, lang in enumerate(langs)) and found[0][99] == found[0][98] == ("und", 0.0)
 
 
 def test_licenses(spark, sf):
