@@ -2,9 +2,12 @@
 
 All rolling hashes of K words of every text are joined, in Spark, to the positions of the same hashes in
 a set of license templates. A hit votes for the diagonal (position in text minus position in template).
-Votes are counted per text, template and diagonal, neighbouring diagonals merge into one span, and a
-span is verified by the words that its hits cover on both sides, a lower bound of its longest common
-subsequence with the template. A verified span adds the template's label.
+Votes are counted per text, template and diagonal. A span is a stretch of text as long as the template and one
+word in LACK_ONE_IN more, that has all of the template's words in order but one in LACK_ONE_IN. In such a span hits lie on
+neighbouring diagonals (three such shares of the template apart at most) and are not fewer than those shares can spoil, so
+neighbouring diagonals are merged that far and no further, however many pieces of a template a text holds.
+Spans with enough votes are verified by the longest common subsequence of their words and the template's. A
+verified span adds the template's label.
 
 Three fixed phrases form the base labels, which stay whatever the method finds.
 
@@ -26,8 +29,7 @@ from pyspark.sql import functions as F
 from cellarium.llm.common import table, written
 
 K = 3
-MERGE = 8
-#: Words of a template that a verified span may lack: one in so many, rounded down, so short notices must match in full.
+#: Words of a template that a verified span may lack, and have besides: one in so many, rounded down, so short notices must match in full.
 LACK_ONE_IN = 10
 MAX_TEMPLATE_WORDS = 2_000_000
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
@@ -75,12 +77,27 @@ def rolling(words: list[bytes], k: int = K) -> np.ndarray:
     return (out * _P).view(np.int64)
 
 
+def common_words(template: list[bytes], words: list[bytes]) -> int:
+    """Length of the longest common subsequence, bit-parallel over the template's words."""
+    masks: dict[bytes, int] = {}
+    for k, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << k
+    v = full = (1 << len(template)) - 1
+    for w in words:
+        u = v & masks.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(template) - v.bit_count()
+
+
 def base_of(words: list[bytes]) -> tuple[int, int, int | None, int | None, str]:
     """n_words, places of the phrases, first and last of them, and the phrases' labels."""
     line = b" ".join(words)
     starts, labels = [], set()
+    at, spaces = 0, 0
     for m in _PHRASES.finditer(line):
-        starts.append(line.count(b" ", 0, m.start()))
+        spaces += line.count(b" ", at, m.start())
+        at = m.start()
+        starts.append(spaces)
         labels.add(BASE[m[1]])
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
 
@@ -123,35 +140,59 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "hash bigint, tpl int, label string, at int, size int")
 
 
-def spans(docs: DataFrame, templates=TEMPLATES, merge: int = MERGE, lack: int = LACK_ONE_IN) -> DataFrame:
-    """(doc_id, t, label, start, end, score) of each verified span of docs (doc_id, text); t is the hash of the text.
-
-    score: the template's words that hits of neighbouring diagonals cover, over its length.
-    """
-    grams = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(hashes(F.col("text"))).alias("pos", "hash"))
-    hits = grams.join(F.broadcast(template_table(docs.sparkSession, templates)), "hash").select("doc_id", "t", "tpl", "label", "size", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "pos")
-    by = ["doc_id", "t", "tpl", "label", "size"]
-    bits = F.sort_array(F.collect_set("at"))
-    # A diagonal's hits are bounded by the template's length.
-    voted = hits.groupBy(*by, "diagonal").agg(bits.alias("ats"))
-    order = Window.partitionBy(*by).orderBy("diagonal")
-    fresh = (F.col("diagonal") - F.lag("diagonal").over(order) > merge) | F.lag("diagonal").over(order).isNull()
-    grouped = voted.withColumn("span", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # Neighbouring diagonals of one span: at most a few per word of its template.
-    merged = grouped.groupBy(*by, "span").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("ats"), F.min(F.col("diagonal") + F.element_at("ats", 1)).alias("start"), F.max(F.col("diagonal") + F.element_at("ats", -1) + K).alias("end"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("to"))
-    count = F.aggregate("ats", zero, lambda a, p: F.struct((a["n"] + p + K - F.greatest(a["to"], p)).alias("n"), (p + K).alias("to")))["n"]
-    scored = merged.withColumn("score", F.least(count, (F.col("end") - F.col("start")).cast("int")) / F.col("size"))
-    return scored.filter(F.col("score") * F.col("size") >= F.col("size") - F.floor(F.col("size") / lack)).select("doc_id", "t", "label", "start", "end", "score")
+def verified(text: Column, found: Column, templates, lack: int) -> Column:
+    """The best spans near found, (tpl, diagonal) of one text: (tpl, start, end, common), common being the words in common with the template."""
+    own = [words_of(t.encode()) for _, t in templates]
+
+    @F.arrow_udf("array<struct<tpl:int,start:int,end:int,common:int>>")
+    def best(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            out = []
+            for t, each in zip(texts.cast(pa.binary()), spans.to_pylist(), strict=True):
+                words, rows = words_of(t.as_py()), []
+                for s in each:
+                    x = own[s["tpl"]]
+                    spare = len(x) // lack
+                    starts = range(max(s["diagonal"] - 2 * spare, 0), max(s["diagonal"] + spare, 0) + 1)
+                    common, start = max((common_words(x, words[i : i + len(x) + spare]), -i) for i in starts)
+                    rows.append({"tpl": s["tpl"], "start": -start, "end": min(len(x) + spare - start, len(words)), "common": common})
+                out.append(rows)
+            yield pa.array(out, pa.list_(pa.struct([(n, pa.int32()) for n in ("tpl", "start", "end", "common")])))
+
+    return best(text, found)
+
+
+def voted(docs: DataFrame, templates=TEMPLATES, lack: int = LACK_ONE_IN) -> DataFrame:
+    """(t, tpl, diagonal) where the hits of a text, of hash t, on a diagonal and those next to it are enough for a span."""
+    grams = docs.select(F.xxhash64("text").alias("t"), F.posexplode(hashes(F.col("text"))).alias("pos", "hash"))
+    hits = grams.join(F.broadcast(template_table(docs.sparkSession, templates)), "hash").select("t", "tpl", "size", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    by = ["t", "tpl", "size"]
+    # A diagonal's hits are bounded by the template's length, and so are the diagonals that are merged.
+    each = hits.groupBy(*by, "diagonal").agg(F.collect_set("at").alias("ats"))
+    widest = 3 * max((len(words_of(t.encode())) // lack for _, t in templates), default=0)
+    near = F.collect_list(F.struct("diagonal", "ats")).over(Window.partitionBy(*by).orderBy("diagonal").rangeBetween(0, widest))
+    spare = F.floor(F.col("size") / lack)
+    votes = F.size(F.array_distinct(F.flatten(F.transform(F.filter("near", lambda d: d["diagonal"] <= F.col("diagonal") + 3 * spare), lambda d: d["ats"]))))
+    return each.withColumn("near", near).filter(votes >= F.greatest(F.lit(1), F.col("size") - (K - 1) - 7 * spare)).select("t", "tpl", "diagonal")
+
+
+def spans(docs: DataFrame, templates=TEMPLATES, lack: int = LACK_ONE_IN) -> DataFrame:
+    """(t, label, start, end, score) of each verified span of the texts of docs; t is the hash of the text, score the share of the template's words in common."""
+    found = written(voted(docs, templates, lack).groupBy("t").agg(F.sort_array(F.collect_set(F.struct("tpl", "diagonal"))).alias("found")), "voted")
+    texts = docs.select(F.xxhash64("text").alias("t"), "text").join(found, "t").groupBy("t").agg(F.first("text").alias("text"), F.first("found").alias("found"))
+    best = texts.select("t", F.explode(verified(F.col("text"), F.col("found"), templates, lack)).alias("s")).select("t", "s.*").distinct()
+    labels = F.array(*(F.lit(label) for label, _ in templates))
+    sizes = F.array(*(F.lit(len(words_of(t.encode()))) for _, t in templates))
+    rows = best.withColumn("label", F.element_at(labels, F.col("tpl") + 1)).withColumn("size", F.element_at(sizes, F.col("tpl") + 1))
+    return rows.filter(F.col("common") >= F.col("size") - F.floor(F.col("size") / lack)).select("t", "label", "start", "end", (F.col("common") / F.col("size")).alias("score"))
 
 
 def op5_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, base columns, labels and score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = spans(docs).groupBy("doc_id", "t").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
-    found = written(found.withColumnsRenamed({"doc_id": "f_id", "t": "f_t"}), "licenses")
+    found = written(spans(docs).groupBy("t").agg(F.collect_set("label").alias("more"), F.max("score").alias("best")), "licenses")
     base = written(docs.select("doc_id", F.xxhash64("text").alias("t"), with_base(F.col("text")).alias("b")).select("doc_id", "t", "b.*"), "license_base")
-    rows = base.join(found, (F.col("doc_id").eqNullSafe(F.col("f_id"))) & (F.col("t") == F.col("f_t")), "left")
+    rows = base.join(found, "t", "left")
     own = F.filter(F.split("base_labels", ","), lambda x: x != "")
     labels = F.array_join(F.sort_array(F.array_distinct(F.concat(own, F.coalesce("more", F.array().cast("array<string>"))))), ",")
     score = F.least(F.lit(1.0), F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)))
