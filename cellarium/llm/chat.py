@@ -25,6 +25,8 @@ TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: Control strings and their escaped forms.
 CONTROL = {"<|": "&lt;|", "<s>": "&lt;s>", "</s>": "&lt;/s>", "<<SYS>>": "&lt;<SYS>>", "<</SYS>>": "&lt;</SYS>>", "[INST]": "&lsqb;INST]", "[/INST]": "&lsqb;/INST]"}
 PART = "struct<type:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
+#: Types that have a placeholder of their own. All others share one, so that no type can open, close or forge a turn.
+TYPES = ("image", "audio", "document")
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25.0, 600
 
 
@@ -54,9 +56,10 @@ def part_tokens(p: Column) -> Column:
 
 
 def visited(parts: Column) -> Column:
-    """The pieces of a body: escaped text, or a placeholder named after the part's type."""
+    """The pieces of a body: escaped text, or a placeholder named after the part's type, `part` for types beyond TYPES."""
     kind = lambda p: F.coalesce(p["type"], F.lit("text"))
-    return F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: F.when(kind(p) == "text", escaped(p["text"])).otherwise(F.concat(F.lit("<|"), F.regexp_replace(kind(p), "[^a-z0-9_]", "_"), F.lit("|>"))))
+    name = lambda p: F.when(kind(p).isin(*TYPES), kind(p)).otherwise("part")
+    return F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: F.when(kind(p) == "text", escaped(p["text"])).otherwise(F.concat(F.lit("<|"), name(p), F.lit("|>"))))
 
 
 def text_part(text: Column) -> Column:
