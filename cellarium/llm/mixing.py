@@ -19,11 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import table, written
+from cellarium.llm.common import fresh, table, written
 
 LEVELS = ("domain", "lang", "source")
 #: Weight by path of node names; nodes that are not named weigh 1.
 WEIGHTS = {("web",): 2.0, ("books",): 1.0, ("web", "en"): 3.0, ("web", "fr"): 2.0, ("web", "de"): 2.0, ("books", "en"): 3.0, ("books", "es"): 2.0}
+#: The domain of each source; others are in the domain "other".
+DOMAINS = {
+    "web": "src0 src2 src4 src6 src8 src10 src12 src14 src16 src18".split(),
+    "books": "src1 src3 src5 src7 src9 src11 src13 src15 src17 src19".split(),
+}
 SHARE = 0.6
 MAX_EPOCHS = 2
 SEED = 17
@@ -31,10 +36,12 @@ RANGE_BITS = 12
 MAX_LEAVES = 100_000
 
 
-def domain_of(source: Column) -> Column:
-    """The domain of a source: even source numbers are web, odd ones books, those without a number other."""
-    number = F.regexp_extract(F.coalesce(source, F.lit("")), r"([0-9])$", 1)
-    return F.when(number == "", "other").when(number.cast("int") % 2 == 0, "web").otherwise("books")
+def domain_of(source: Column, domains: dict[str, list[str]] = DOMAINS) -> Column:
+    """The domain that lists a source."""
+    out = F.lit("other")
+    for domain, own in domains.items():
+        out = F.when(source.isin(*own), domain).otherwise(out)
+    return out
 
 
 def tokens_of(text: Column) -> Column:
@@ -69,7 +76,11 @@ def shared_out(children: DataFrame, parent: list[str], budget: str, to: str) ->
 
 def budgets(leaves: DataFrame, levels: tuple[str, ...], weights: dict, total: Column, max_epochs: int) -> DataFrame:
     """(levels, tokens, budget) of each leaf, from levels and tokens. One row per leaf comes in; the tree is that small."""
-    caps = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
+    # Nothing is taken below a node of weight zero, so it has no capacity, and its tokens go to siblings.
+    open_to = F.lit(True)
+    for depth in range(1, len(levels) + 1):
+        open_to &= weight_of([F.col(c) for c in levels[:depth]], weights) > 0
+    caps = leaves.withColumn("cap", F.when(open_to, F.col("tokens") * max_epochs).otherwise(0).cast("double"))
     top = caps.agg(F.coalesce(F.sum("cap"), F.lit(0.0)).alias("cap"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(F.lit(0).alias("__top"), F.least(total, F.col("cap")).alias("budget"))
     parent = ["__top"]
     for depth in range(1, len(levels) + 1):
@@ -86,7 +97,7 @@ def place_of(epoch: Column, seed: int) -> Column:
 
 
 def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict = WEIGHTS, share: float = SHARE, total: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows chosen from docs (doc_id, text and any others), once for each epoch, with `__mix`: (epoch, tokens).
+    """The rows chosen from docs (doc_id, text and any others), once for each epoch, as `doc`, a struct of their columns, and `mix`: (epoch, tokens).
 
     levels: name and column of each level of the tree, from the top. The budget is `total` tokens, or the
     given share of all tokens.
@@ -108,10 +119,9 @@ def mixed(docs: DataFrame, levels: dict[str, Column], weights: dict = WEIGHTS, s
     passed = F.coalesce(F.sum("n").over(Window.partitionBy(*names, "epoch", "range").orderBy("h").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stops = written(rows.withColumn("passed", passed).filter("passed < left").groupBy(*names).agg(F.max("epoch").alias("__stop"), F.max("h").alias("__h")), "stops")
     small = stops.limit(MAX_LEAVES + 1).count() <= MAX_LEAVES
-    chosen = docs.select("*", *leaf).join(F.broadcast(stops) if small else stops, list(names))
+    chosen = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text", *leaf).join(F.broadcast(stops) if small else stops, list(names))
     taken = F.filter(F.sequence(F.lit(0), F.col("__stop")), lambda e: (e < F.col("__stop")) | (place_of(e, seed) <= F.col("__h")))
-    out = chosen.select(*docs.columns, F.explode(taken).alias("__epoch"))
-    return out.select(*docs.columns, F.struct(F.col("__epoch").alias("epoch"), tokens_of(F.col("text")).alias("tokens")).alias("__mix"))
+    return chosen.select("doc", F.explode(taken).alias("epoch"), tokens_of(F.col("text")).alias("tokens")).select("doc", F.struct("epoch", "tokens").alias("mix"))
 
 
 def tree() -> dict[str, Column]:
@@ -121,9 +131,10 @@ def tree() -> dict[str, Column]:
 def op9_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, domain, lang, source, epoch and n_tokens of every chosen document, a row for each epoch it is in."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return mixed(docs, tree()).select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", F.col("__mix.epoch").alias("epoch"), F.col("__mix.tokens").alias("n_tokens"))
+    return mixed(docs, tree()).select("doc.doc_id", domain_of(F.col("doc.source")).alias("domain"), "doc.lang", "doc.source", F.col("mix.epoch").alias("epoch"), F.col("mix.tokens").alias("n_tokens"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The chosen documents with their columns, and epoch and n_tokens."""
-    return mixed(docs, tree()).select(*docs.columns, F.col("__mix.epoch").alias("epoch"), F.col("__mix.tokens").alias("n_tokens"))
+    """The chosen documents with their columns, and epoch and n_tokens (with an underscore before them where docs has such columns)."""
+    epoch, tokens = fresh(docs, "epoch", "n_tokens")
+    return mixed(docs, tree()).select("doc.*", F.col("mix.epoch").alias(epoch), F.col("mix.tokens").alias(tokens))
