@@ -34,6 +34,8 @@ MAX_REPEAT_PERCENT = 50
 BAND_WIDTH = 4.0
 MIN_LABELLED = 100
 MAX_BANDS = 100_000
+#: Decimal places that bands are fitted with, so that quartiles are exact and still need few distinct values in memory.
+PLACES = 4
 #: Bands where no labelled rows exist: characters per token (both vocabularies) by script, then bounds for all scripts.
 SCRIPT_BANDS = {"latin": (1.2, 8.0), "cyrillic": (1.0, 8.0), "greek": (0.8, 6.0), "arabic": (0.6, 6.0), "han": (0.3, 3.0), "other": (0.2, 8.0)}
 MAX_BYTE_SHARE = 0.6
@@ -202,32 +204,34 @@ def length_class(n_words: Column) -> Column:
 def fit_bands(good: DataFrame, width: float = BAND_WIDTH, least: int = MIN_LABELLED) -> DataFrame:
     """Bands (lang, size, and low and high per metric) from good documents' columns lang, n_words and METRICS.
 
-    Median and quartiles over all labelled rows; a band is the median plus and minus width robust
+    Exact median and quartiles over all labelled rows, whatever their partitions; a band is the median plus and minus width robust
     deviations. size is the length class, or null in the band for the language as a whole.
     """
     sized = good.select(F.col("lang").alias("b_lang"), F.explode(F.array(length_class(F.col("n_words")), F.lit(None).cast("int"))).alias("b_size"), *METRICS)
-    quartiles = sized.groupBy("b_lang", "b_size").agg(F.count(F.lit(1)).alias("b_n"), *(F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in METRICS))
+    quartiles = sized.groupBy("b_lang", "b_size").agg(F.count(F.lit(1)).alias("b_n"), *(F.percentile(F.round(m, PLACES), F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))).alias(m) for m in METRICS))
     spread = lambda m: (F.col(m)[2] - F.col(m)[0]) / F.lit(1.349) * F.lit(width) + F.lit(0.01)
     return quartiles.filter(F.col("b_n") >= least).select("b_lang", "b_size", *(F.struct((F.col(m)[1] - spread(m)).alias("low"), (F.col(m)[1] + spread(m)).alias("high")).alias(f"b_{m}") for m in METRICS))
 
 
 def judged(rows: DataFrame, bands: DataFrame, lang: str, q: str, to: str) -> DataFrame:
-    """rows with a struct column of base_failed and kept. bands is small: one row per language and length class, checked against MAX_BANDS before it is broadcast."""
-    if bands.limit(MAX_BANDS + 1).count() > MAX_BANDS:
-        raise ValueError(f"more than {MAX_BANDS} bands; the language column holds something else")
-    m = lambda f: F.col(q)[f]
-    sized = F.broadcast(bands.filter("b_size is not null").select("b_lang", "b_size", *(F.col(f"b_{x}").alias(f"s_{x}") for x in METRICS)))
-    whole = F.broadcast(bands.filter("b_size is null").select(F.col("b_lang").alias("w_lang"), *(F.col(f"b_{x}").alias(f"w_{x}") for x in METRICS)))
-    joined = rows.join(sized, (F.col(lang) == F.col("b_lang")) & (length_class(m("n_words")) == F.col("b_size")), "left").join(whole, F.col(lang) == F.col("w_lang"), "left")
+    """rows with a struct column of base_failed and kept. bands, a row per language and length class, is broadcast up to MAX_BANDS rows, and joined beyond."""
+    small = bands.limit(MAX_BANDS + 1).count() <= MAX_BANDS
+    near = F.broadcast if small else lambda df: df
+    own = rows.select(F.struct(*rows.columns).alias("row"), F.col(lang).alias("lang"), length_class(F.col(f"{q}.n_words")).alias("size"))
+    bound = F.struct(*(F.col(f"b_{x}").alias(x) for x in METRICS))
+    sized = near(bands.filter("b_size is not null").select(F.col("b_lang").alias("lang"), F.col("b_size").alias("size"), bound.alias("s_band")))
+    whole = near(bands.filter("b_size is null").select(F.col("b_lang").alias("lang"), bound.alias("w_band")))
+    joined = own.join(sized, ["lang", "size"], "left").join(whole, "lang", "left")
+    m = lambda f: F.col("row")[q][f]
     default = F.create_map(*(F.lit(x) for s, (low, high) in SCRIPT_BANDS.items() for x in (s, f"{low},{high}")))
     low, high = (F.split(default[m("script")], ",")[i].cast("double") for i in (0, 1))
     plain = {"cpt_piece": (low, high), "cpt_byte": (low, high), "byte_share": (F.lit(0.0), F.lit(MAX_BYTE_SHARE)), "entropy": (F.lit(MIN_ENTROPY), F.lit(1.0))}
     inside = F.lit(True)
     for x in METRICS:
-        band = F.coalesce(F.col(f"s_{x}"), F.col(f"w_{x}"))
+        band = F.coalesce(F.col("s_band")[x], F.col("w_band")[x])
         inside &= m(x).between(F.coalesce(band["low"], plain[x][0]) if x != "byte_share" else F.lit(0.0), F.coalesce(band["high"], plain[x][1]))
     failed = (m("n_words") < MIN_WORDS) | (100 * m("n_repeat_words") > MAX_REPEAT_PERCENT * m("n_words"))
-    return joined.select(*(rows[c] for c in rows.columns), F.struct(failed.alias("base_failed"), (~failed & inside).alias("kept")).alias(to))
+    return joined.select("row.*", F.struct(failed.alias("base_failed"), (~failed & inside).alias("kept")).alias(to))
 
 
 def good_rows(rows: DataFrame, labels: DataFrame, q: str) -> DataFrame:
@@ -246,6 +250,6 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    rows = written(measured(docs, "__q"), "measured")
-    bands = written(fit_bands(good_rows(rows, table(spark, sf_dir, "labels"), "__q")), "bands")
-    return judged(rows, bands, "lang", "__q", "__v").filter("__v.kept").select(*docs.columns)
+    rows = written(measured(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "lang", "text"), "q").drop("text"), "measured")
+    bands = written(fit_bands(good_rows(rows, table(spark, sf_dir, "labels"), "q")), "bands")
+    return judged(rows, bands, "lang", "q", "v").filter("v.kept").select("doc.*")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import hex64, table, written
+from cellarium.llm.common import fresh, hex64, table, written
 from cellarium.llm.components import components
 
 SHINGLE = 3
@@ -347,12 +347,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group. Of rows that share this id one stays; rows without an id stay only where their group has no id at all."""
-    found = written(similar(docs), "near")
-    ids = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    kept = docs.join(ids.select(F.col("doc_id").alias("__id"), "__n"), F.col("doc_id") == F.col("__id"), "inner")
-    once = kept.filter("__n = 1").select(*docs.columns)
+    found = written(similar(docs.select("doc_id", "text")), "near")
+    own, times, fp = fresh(docs, "own_id", "times", "fp")
+    ids = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias(times))
+    kept = docs.join(ids, F.col("doc_id") == F.col(own), "inner")
+    once = kept.filter(F.col(times) == 1).select(*docs.columns)
     if not found.filter("doc_id is null or component_id is null").isEmpty():
-        once = once.unionByName(docs.filter("doc_id is null").join(found.filter("component_id is null").select(F.col("fp").alias("__fp")).distinct(), sketch_of(F.col("text"))[0] == F.col("__fp"), "left_semi").dropDuplicates(["text"]))
-    if ids.filter("__n > 1").isEmpty():
+        alone = found.filter("component_id is null").select(F.col("fp").alias(fp)).distinct()
+        once = once.unionByName(docs.filter("doc_id is null").join(alone, sketch_of(F.col("text"))[0] == F.col(fp), "left_semi").dropDuplicates(["text"]))
+    if ids.filter(F.col(times) > 1).isEmpty():
         return once
-    return once.unionByName(kept.filter("__n > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(kept.filter(F.col(times) > 1).select(*docs.columns).dropDuplicates(["doc_id"]))
