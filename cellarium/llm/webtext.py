@@ -5,7 +5,7 @@ else body) without menus, headers, footers, sidebars, notices, adverts, forms, s
 comments. The blocks that it leaves, as token streams one after the other, are a host's text. Of its suffix
 array the ranges matter whose suffixes have a common prefix of DEPTH tokens or more and come from enough
 distinct pages: MIN_PAGES, and SHARE of the host's. No task could hold the array of a hot host. But all
-tokens of such a prefix occur on as many pages, so tokens are counted first, then the suffixes are ranked, by hashes of
+tokens of such a prefix occur on as many pages, so tokens are counted first (in BUCKETS a host, which lets a few more through), then the suffixes are ranked, by hashes of
 their first DEPTH tokens, that begin with frequent tokens only: few of all. Both counts are
 distributed sums; what is frequent on a host is bounded by a page's tokens over SHARE. On each page
 neighbouring positions in frequent ranges join to maximal repeated substrings; a block covered by them
@@ -34,6 +34,7 @@ DEPTH = 8
 SHARE = 0.3
 MIN_PAGES = 5
 COVERED = 0.8
+BUCKETS = 1 << 13
 #: Hashes that are broadcast (8 bytes each); more are joined.
 MAX_RANGES = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -235,14 +236,14 @@ def frequent(rows: DataFrame, least: int = MIN_PAGES, share: float = SHARE) -> D
 
     def words(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         for host, blocks in zip(b.column("host").to_pylist(), b.column("blocks").to_pylist(), strict=True):
-            yield host, _tokens(blocks).view(np.int64)
+            yield host, (_tokens(blocks) % np.uint64(BUCKETS)).astype(np.int64)
 
     tokens = written(chosen(_sum_by_host(once.join(hosts.select("host"), "host", "left_semi"), words)), "tokens")
 
     def suffixes(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         for host, blocks, hs in zip(b.column("host").to_pylist(), b.column("blocks").to_pylist(), b.column("hs"), strict=True):
             h = _tokens(blocks)
-            common = np.isin(h.view(np.int64), hs.values.to_numpy(zero_copy_only=False))
+            common = np.isin((h % np.uint64(BUCKETS)).astype(np.int64), hs.values.to_numpy(zero_copy_only=False))
             run = np.convolve(common, np.ones(DEPTH, np.int64), "valid") == DEPTH
             yield host, prefixes(h)[run]
 

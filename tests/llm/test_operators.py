@@ -6,6 +6,7 @@ import html
 import re
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -83,8 +84,8 @@ def test_latent_space_is_the_corpus(spark, planted):
 
     space, items, docs, order = planted
     whole = [(d, t) for d, t in docs if d < 100]
-    none = decontaminate.Space(space.ids, space.items, space.idf, np.zeros((decontaminate.FEATURES, 0)))
-    other = decontaminate.Space(space.ids, space.items, space.idf, np.eye(decontaminate.FEATURES)[:, :3])
+    none = decontaminate.Space(space.ids, space.items, space.idf, np.zeros((decontaminate.FEATURES, 0)), space.known)
+    other = decontaminate.Space(space.ids, space.items, space.idf, np.eye(decontaminate.FEATURES)[:, :3], space.known)
     assert len(latent_hits(spark, whole, space)) == len(items) and not latent_hits(spark, whole, none)
     assert latent_hits(spark, docs, other) != latent_hits(spark, docs, space)
     g = space.basis.T @ space.basis
@@ -114,11 +115,29 @@ def test_randomised_svd_against_exact(spark):
                 np.add.at(x, at, sign * i)
             rows.append(x / np.linalg.norm(x))
     exact = np.linalg.svd(np.array(rows), full_matrices=False)
-    q = decontaminate.latent_basis(df, idf, passages, 8)
+    q = decontaminate.latent_basis(decontaminate.drawn(df, passages), idf, 8)
     q /= np.linalg.norm(q, axis=0)
     assert np.linalg.norm(exact[2][:6] @ q, axis=1).min() > 0.99
 
 
+def test_word_hashes():
+    """Hashes by running sums over all bytes depend on the word alone, in slices of any size, and tell words apart."""
+    import random
+
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdé9") for _ in range(rng.randint(1, 9))).encode() for _ in range(3000)]
+    lines = [b"  ".join(words[i : i + 50]) + b" " * (i % 3) for i in range(0, 3000, 50)] + [b"", b"  "]
+    run = decontaminate.Run(list(range(len(lines))), lines)
+    alone = {w: int(decontaminate.hashed(w)[0]) for w in words}
+    assert len(set(alone.values())) == len(alone) and run.hash.tolist() == [alone[w] for w in words]
+    assert run.text.tolist() == [i // 50 for i in range(3000)] and run.number.tolist() == [i % 50 for i in range(3000)] and run.count.tolist() == [50] * 60 + [0, 0]
+    long = b" ".join(words * 200)
+    assert decontaminate.hashed(long).tolist() == [alone[w] for w in words] * 200
+    assert decontaminate.hashed(b"a" * (decontaminate.SLICE + 5) + b" " + words[0]).tolist()[1] == alone[words[0]]
+    find = decontaminate.Lookup(np.unique(np.array(list(alone.values())[::2], np.uint64)))
+    assert [x >= 0 for x in find(np.array(list(alone.values()), np.uint64))] == [k % 2 == 0 for k in range(len(alone))]
+
+
 def test_paraphrases(spark):
     """Leaks with a tenth of their words replaced are found; texts of the same words in another order are not."""
     words = BENCHMARK[1].split()
@@ -153,12 +172,12 @@ def _leaks(spark, tmp_path, docs, bench):
 
 
 def test_templated_and_short_items(spark, tmp_path):
-    """Verbatim copies of items with few words of their own, of short ones and of one word are found, and no others."""
+    """Copies of items with few words of their own are found if they have these, verbatim ones of short items and of one word, and no others."""
     names = [a + b for a in ("ka", "lo", "mi", "ru", "ta") for b in ("bor", "din", "fen", "gul", "hax", "jep")]
     bench = [(i, f"What is the capital city of the country called {x}?") for i, x in enumerate(names)]
     bench += [(100, "Name seven wonders"), (101, "Zyzzyva"), (102, "What is the capital"), (103, " ?! ")]
     docs = [(1, f"x y what is the CAPITAL city of the country called {names[4]} z"), (2, "the capital city of the country called " + names[5]), (3, "so name seven wonders"), (4, "name seven other wonders"), (5, "a zyzzyva."), (6, None), (7, "seven wonders name"), (8, "What is the capital city of the country called")]
-    assert _leaks(spark, tmp_path, docs, bench) == {(1, 4), (1, 102), (3, 100), (5, 101), (8, 102)}
+    assert _leaks(spark, tmp_path, docs, bench) == {(1, 4), (1, 102), (2, 5), (3, 100), (5, 101), (8, 102)}  # (2, 5) lacks two words
 
 
 def test_repeated_items(spark, tmp_path):
@@ -175,7 +194,7 @@ def test_lcs_is_exact():
 
     items = [w.split() for w in ("a b c d e f g h", "x y x y x y z z")]
     items = [[x.encode() for x in w] for w in items]
-    space = decontaminate.Space([[0], [1]], items, np.ones(decontaminate.SLOTS, np.float32), np.zeros((decontaminate.FEATURES, 0)))
+    space = decontaminate.Space([[0], [1]], items, np.ones(decontaminate.SLOTS, np.float32), np.zeros((decontaminate.FEATURES, 0)), np.zeros(0, np.uint64))
 
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
