@@ -121,6 +121,22 @@ def is_date_format(fmt: Column) -> Column:
     return F.coalesce(bare.rlike(r"^[\[\]yYmMdDhHsSTJNn0-9\-T/,. :]+$") & bare.rlike("[yYmMdDhHsSTJN]"), F.lit(False))
 
 
+#: Numbers of the built-in formats that show dates or times.
+INTERNAL_DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
+
+
+def is_internal_date_format(number: Column) -> Column:
+    return number.isin(*INTERNAL_DATE_FORMATS)
+
+
+def parse_day(text: Column) -> Column:
+    """The date of YYYY/MM/DD, else null."""
+    ok = text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$")
+    part = F.split(text, "/")
+    year, month, day = (F.get(part, F.lit(i)).try_cast("int") for i in range(3))
+    return F.when(ok & (_one(text, r"(\d+)/(\d+)/(\d+)", (1, 2, 3)).isNotNull()), F.format_string("%04d-%02d-%02d", year, month, day)).try_cast("date")
+
+
 def autodetect(text: Column, entity: Column) -> Column:
     """First date-time, else first date, else the entity, else the text."""
     return F.coalesce(F.get(datetimes_only(text), F.lit(0)), F.get(dates_only(text), F.lit(0)), entity, text)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.functions import parse, text
+from cellarium.operators import richtext
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 
@@ -48,10 +49,36 @@ def locale_numbers(s: Column, locale: str = "en") -> Column:
     return F.transform(found, lambda x: F.replace(F.replace(x, F.lit(group), F.lit("")), F.lit(mark), F.lit(".")).try_cast("double"))
 
 
+RR = "http://www.w3.org/ns/r2rml#"
+
+
+def terms_of(texts: Column, term_type: str | None = None, datatype: str | None = None, entity: Column | None = None) -> Column:
+    """The terms of a list of texts: entities for IRIs (entity: a map from text to IRI), values of a datatype for literals, whatever is found first without a term type."""
+    link = lambda t: F.element_at(entity, t) if entity is not None else F.lit(None).cast("string")
+    strings = lambda values: F.transform(values, lambda v: v.cast("string"))
+    if not term_type:
+        return F.transform(texts, lambda t: parse.autodetect(t, link(t)))
+    if term_type == RR + "IRI":
+        return F.array_compact(F.transform(texts, link))
+    of_type = {"date": parse.dates_only, "dateTime": parse.datetimes_only, "integer": parse.parse_ints, "decimal": parse.parse_decimals}
+    own = of_type.get((datatype or "").removeprefix(XSD))
+    return F.flatten(F.transform(texts, lambda t: strings(own(t)))) if own else texts
+
+
+def flag(s: Column, trues: tuple[str, ...] = ("true", "yes", "y", "x"), falses: tuple[str, ...] = ("false", "no", "n", "-")) -> Column:
+    """The flag that a text is, by common symbols."""
+    return parse.parse_boolean(F.lit("string"), F.lower(text.jtrim(s)), F.lit(None).cast("double"), F.lit(None).cast("boolean"), list(trues), list(falses))
+
+
 #: Name, function of one text column, and the type of its values; lists are marked.
 FUNCTIONS: dict[str, tuple[Callable[[Column], Column], str, bool]] = {
     "parseDate": (parse.dates_only, XSD + "date", True),
     "parseDateTime": (parse.datetimes_only, XSD + "dateTime", True),
+    "parseBoolean": (flag, XSD + "boolean", False),
+    "autodetect": (lambda s: parse.autodetect(s, F.lit(None).cast("string")), XSD + "string", False),
+    "getEntitiesByBold": (lambda s: richtext.by_tag(s, "b"), XSD + "string", True),
+    "getEntitiesByUnformatted": (richtext.unformatted, XSD + "string", True),
+    "getEntitiesByBlack": (lambda s: richtext.by_color(s, richtext.BLACK), XSD + "string", True),
     "parseInts": (parse.parse_ints, XSD + "integer", True),
     "parseDecimals": (parse.parse_decimals, XSD + "decimal", True),
     "localeNumbers": (locale_numbers, XSD + "decimal", True),

@@ -49,13 +49,9 @@ def class_iri(sheet: Column) -> Column:
 
 
 def column_letters(col: Column) -> Column:
-    """Spreadsheet letters of a column number from 0, up to three letters."""
-    n = col.cast("int")
-    letter = lambda x: F.chr(F.lit(65) + x)
-    one = letter(F.pmod(n, F.lit(26)))
-    two = letter(F.pmod(F.floor(n / 26) - 1, F.lit(26)))
-    three = letter(F.pmod(F.floor((n - 26) / 676) - 1, F.lit(26)))
-    return F.when(n < 26, one).when(n < 702, F.concat(two, one)).otherwise(F.concat(three, two, one))
+    """Spreadsheet letters of a column number from 0; six letters reach beyond any int."""
+    step = lambda a, _: F.when(a["n"] < 0, a).otherwise(F.struct((F.floor(a["n"] / 26) - 1).cast("bigint").alias("n"), F.concat(F.chr(F.lit(65) + a["n"] % 26), a["s"]).alias("s")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.struct(col.cast("bigint").alias("n"), F.lit("").alias("s")), step)["s"]
 
 
 def a1_address(col: Column, row: Column) -> Column:

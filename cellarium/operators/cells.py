@@ -49,12 +49,17 @@ def union_cells(parts: list[DataFrame]) -> DataFrame:
 
 
 def with_headers(raw: DataFrame) -> DataFrame:
-    """Cells as loaded (sheet, row, col and values), each column's first cell turned into header."""
-    first = Window.partitionBy("sheet", "col").orderBy("row")
-    numbered = raw.withColumn("__n", F.row_number().over(first))
+    """Cells as loaded (sheet, row, col and values), each column's first cell turned into header. One aggregate and a join, so no column is sorted in one task."""
     text = F.coalesce("value_string", F.col("value_numeric").cast("string"), F.col("value_boolean").cast("string"))
-    headers = numbered.filter("__n = 1").select("sheet", "col", text.alias("header"))
-    return numbered.filter("__n > 1").drop("__n").join(headers, ["sheet", "col"])
+    headers = raw.groupBy("sheet", "col").agg(F.min(F.struct(F.col("row").alias("first"), text.alias("header"))).alias("h")).select("sheet", "col", "h.*")
+    return raw.join(headers, ["sheet", "col"]).filter(F.col("row") > F.col("first")).drop("first")
+
+
+def first_of(table: DataFrame, key: list[str], order: str, value: str, n: int) -> DataFrame:
+    """(key, values): the first n values of each key by order. Partitions keep n rows of a key before they are shuffled."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(order, value))
+    top = table.select(*key, order, value).withColumn("place", place).filter(F.col("place") <= n)
+    return top.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", value))), lambda r: r[value]).alias("values"))
 
 
 def dimensions(table: DataFrame) -> DataFrame:
@@ -70,9 +75,13 @@ def selected(table: DataFrame, sheets: list[str] | None = None, start_col: int =
     return out.filter(F.col("row").between(*rows)) if rows else out
 
 
-def beside(table: DataFrame, dx: int) -> DataFrame:
-    """Each cell with the string of the cell dx columns to its right, where there is one."""
-    other = table.select("sheet", "row", (F.col("col") - dx).alias("col"), F.col("value_string").alias("beside"))
+#: Fields of a cell by name; valueInt is the whole part of a number.
+FIELDS = {"value": "coalesce(value_string, cast(value_numeric as string), cast(value_boolean as string))", "valueString": "value_string", "valueInt": "try_cast(value_numeric as int)", "valueNumeric": "value_numeric", "valueBoolean": "value_boolean", "valueRichText": "value_rich_text"}
+
+
+def beside(table: DataFrame, dx: int, dy: int = 0, field: str = "valueString", to: str = "beside") -> DataFrame:
+    """Each cell with a field of the cell dx columns to its right and dy rows below, where there is one."""
+    other = table.select("sheet", (F.col("row") - dy).alias("row"), (F.col("col") - dx).alias("col"), F.expr(FIELDS[field]).alias(to))
     return table.join(other, ["sheet", "row", "col"])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ def property_matches(paired: DataFrame) -> DataFrame:
     return first.groupBy("sheet").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("known"))
 
 
-def compared(actual: DataFrame, expected: DataFrame, limit: int = M.MAX_STATEMENTS) -> DataFrame:
+def compared(actual: DataFrame, expected: DataFrame, tries: int = M.MAX_TRIES) -> DataFrame:
     """(sheet, row, col, tp, fn, fp, truncated) of every expected cell, under its best mapping.
 
     Both are triples with sheet, row and col. Cells that only actual has are left out; missing ones are
@@ -34,17 +37,21 @@ def compared(actual: DataFrame, expected: DataFrame, limit: int = M.MAX_STATEMEN
     paired = graphs(expected, key).withColumnRenamed("graph", "expected").join(graphs(actual, key).withColumnRenamed("graph", "actual"), key, "left").withColumn("actual", F.coalesce("actual", none))
     known = property_matches(paired)
 
-    @F.udf("struct<tp:bigint,fn:bigint,fp:bigint,truncated:boolean>")
-    def best(a, e, start):
-        a, e = ([(t["s"], t["p"], t["o"], bool(t["literal"])) for t in g] for g in (a, e))
-        if max(len(a), len(e)) > limit:
-            return (*M.counts_under(a, e, start or {}), True)
-        found = M.match(a, e, start or {}) or [start or {}]
-        top = max((M.counts_under(a, e, m) for m in found), key=lambda c: (c[0], -c[1] - c[2]))
-        return (*top, False)
+    def under(a: list[M.Triple], e: list[M.Triple], start: M.Mapping) -> tuple[int, int, int, bool]:
+        budget = M.Budget(tries)
+        found = M.match(a, e, start, budget) or [start]
+        return (*max((M.counts_under(a, e, m) for m in found), key=lambda c: (c[0], -c[1] - c[2])), budget.spent)
+
+    @F.arrow_udf("struct<tp:bigint,fn:bigint,fp:bigint,truncated:boolean>")
+    def best(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kinds = (("tp", pa.int64()), ("fn", pa.int64()), ("fp", pa.int64()), ("truncated", pa.bool_()))
+        for columns in batches:
+            rows = [under(M.triples_of(a), M.triples_of(e), dict(start or [])) for a, e, start in zip(*(c.to_pylist() for c in columns), strict=True)]
+            each = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(each, kinds, strict=True)], names=[n for n, _ in kinds])
 
     rows = paired.join(known, "sheet", "left").withColumn("known", F.when(F.col("row") > 0, F.col("known")))
-    return rows.select(*key, best("actual", "expected", "known").alias("b")).select(*key, "b.*")
+    return rows.select(*key, best(F.col("actual"), F.col("expected"), F.col("known")).alias("b")).select(*key, "b.*")
 
 
 def evaluated(actual: DataFrame, expected: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellarium.functions.parse import parse_boolean, parse_decimals, parse_ints, serial_to_date, serial_to_timestamp
+from cellarium.functions.parse import parse_decimals, parse_ints, serial_to_date, serial_to_timestamp
 from cellarium.functions.parse import dates_only as parse_date_texts
 from cellarium.functions.parse import datetimes_only as parse_datetime_texts
 from cellarium.functions.text import a1_address, class_iri, jtrim, property_iri, subject_iri
+from cellarium.operators.profile import near
+from cellarium.operators.rules import column_rules, parse_flag, pieces
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDF_PROPERTY = "http://www.w3.org/1999/02/22-rdf-syntax-ns#Property"
@@ -35,32 +37,46 @@ def property_triples(table: DataFrame) -> DataFrame:
     return each.select("s", F.explode(rows).alias("t")).select("s", "t.*")
 
 
-def values_of(hypothesis: Column, true_symbols: list[str], false_symbols: list[str]) -> Column:
-    """(o, o_kind, o_type) values of a cell under its column's hypothesis."""
-    s, x, kind = F.col("value_string"), F.col("value_numeric"), F.col("cell_type")
-    lit = lambda t: lambda v: F.struct(v.cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit(XSD + t).alias("o_type"))
-    iri = lambda v: F.struct(entity_iri(v).alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_type"))
+def values_of() -> Column:
+    """(o, o_kind, o_type) values of a cell under the rules of its column, as column_rules() gives them."""
+    s, x, kind, h = F.col("value_string"), F.col("value_numeric"), F.col("cell_type"), F.col("hypothesis")
+    lit = lambda t: lambda v: F.struct(v.cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.concat(F.lit(XSD), t if isinstance(t, Column) else F.lit(t)).alias("o_type"))
+    node = lambda v: F.struct(v.alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_type"))
+    entity = lambda v: node(entity_iri(v))
     one = lambda v: F.array_compact(F.array(v))
-    flag = parse_boolean(kind, s, x, F.col("value_boolean"), true_symbols, false_symbols)
+    of_list = lambda name: F.coalesce(name, F.array().cast("array<string>"))
+    flag = parse_flag(kind, s, x, F.col("value_boolean"), of_list(F.col("trues")), of_list(F.col("falses")))
     number = F.when(kind == "numeric", one(x.try_cast("int"))).otherwise(parse_ints(s))
-    h = hypothesis
+    text = F.coalesce(s, x.cast("string"), F.col("value_boolean").cast("string"))
     return (
         F.when(h.isin("bool", "str_bool"), F.transform(one(flag), lit("boolean")))
-        .when(h.isin("num_int", "str_int", "multi_int"), F.transform(number, lit("integer")))
+        .when(h.isin("num_int", "str_int", "multi_int"), F.transform(number, lit(F.when(F.col("years"), "gYear").otherwise("integer"))))
         .when(h.isin("num_decimal", "str_decimal_en"), F.transform(F.when(kind == "numeric", one(x)).otherwise(parse_decimals(s)), lit("decimal")))
         .when(h == "str_decimal_de", F.transform(F.when(kind == "numeric", one(x)).otherwise(parse_decimals(s, "de")), lit("decimal")))
         .when(h.isin("format_date", "str_date"), F.transform(F.when(kind == "numeric", one(serial_to_date(x).cast("string"))).otherwise(parse_date_texts(s)), lit("date")))
         .when(h.isin("format_datetime", "str_datetime"), F.transform(F.when(kind == "numeric", one(F.date_format(serial_to_timestamp(x), "yyyy-MM-dd'T'HH:mm:ss"))).otherwise(parse_datetime_texts(s)), lit("dateTime")))
-        .when(h.isin("str_resource", "multi_resources"), F.transform(one(F.when(jtrim(s) != "", jtrim(s))), iri))
-        .otherwise(F.transform(one(F.coalesce(s, x.cast("string"), F.col("value_boolean").cast("string"))), lit("string")))
+        .when(h == "str_resource", F.transform(one(F.when(jtrim(s) != "", jtrim(s))), entity))
+        .when(h == "multi_resources", F.transform(F.array_distinct(pieces(s, of_list(F.col("chars")))), entity))
+        .when(F.col("links") & s.isNotNull(), F.transform(one(jtrim(s)), node))
+        .otherwise(F.transform(one(text), lit("string")))
     )
 
 
-def value_triples(table: DataFrame, winners: DataFrame, true_symbols: tuple = ("true", "yes", "y", "x"), false_symbols: tuple = ("false", "no", "n", "-")) -> DataFrame:
-    """A triple for each value of each cell, with its place. winners: (sheet, col, hypothesis), one row per column."""
-    rows = table.join(F.broadcast(winners.select("sheet", "col", "hypothesis")), ["sheet", "col"])
+def value_triples(table: DataFrame, winners: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """A triple for each value of each cell, with its place. winners: (sheet, col, hypothesis), one row per column; known: labels of entities."""
+    rows = table.join(near(column_rules(table, winners, known)), ["sheet", "col"])
     predicate = property_iri(F.col("sheet"), F.col("col"), F.col("header"))
-    return rows.select(_subject().alias("s"), predicate.alias("p"), F.explode(values_of(F.col("hypothesis"), list(true_symbols), list(false_symbols))).alias("v"), "sheet", "row", "col").select("s", "p", "v.*", "sheet", "row", "col")
+    return rows.select(_subject().alias("s"), predicate.alias("p"), F.explode(values_of()).alias("v"), "sheet", "row", "col").select("s", "p", "v.*", "sheet", "row", "col")
+
+
+def styled_triples(table: DataFrame, winners: DataFrame) -> DataFrame:
+    """The same for formatted texts, from styled cells and winners by (sheet, col, style); each style has a property of its own."""
+    key = F.struct("sheet", "col", "style")
+    flat = lambda df: df.withColumn("place", F.struct("sheet", "col")).withColumn("sheet", F.to_json(key))
+    rules = column_rules(flat(table), flat(winners)).drop("col").withColumnRenamed("sheet", "key")
+    rows = table.withColumn("key", F.to_json(key)).join(near(rules), "key")
+    predicate = property_iri(F.col("sheet"), F.col("col"), F.col("header"), F.regexp_replace("style", "[^A-Za-z0-9]+", "_"))
+    return rows.select(_subject().alias("s"), predicate.alias("p"), F.explode(values_of()).alias("v"), "sheet", "row", "col").select("s", "p", "v.*", "sheet", "row", "col")
 
 
 def entity_iri(label: Column) -> Column:
@@ -76,11 +92,21 @@ def entity_triples(labels: DataFrame, known: DataFrame | None = None, kind: str
     return new.select(entity_iri(F.col("label")).alias("s"), F.explode(rows).alias("t")).select("s", "t.*")
 
 
-def described(triples: DataFrame, more: DataFrame) -> DataFrame:
-    """triples with all statements about their objects and predicates, placed where those occur."""
+def described(triples: DataFrame, more: DataFrame, properties: str | None = None, hops: int = 1) -> DataFrame:
+    """triples with all statements of more about their objects and predicates, placed where those occur.
+
+    properties: a prefix that predicates need to be described. hops: how far statements about the objects of added statements follow.
+    """
     place = ["sheet", "row", "col"]
-    about = triples.filter("o_kind = 'iri'").select(*place, F.col("o").alias("s")).unionByName(triples.select(*place, F.col("p").alias("s"))).distinct()
-    return triples.select(*TRIPLE, *place).unionByName(about.join(more, "s").select(*TRIPLE, *place)).distinct()
+    out = new = triples.select(*TRIPLE, *place)
+    for hop in range(hops):
+        about = new.filter("o_kind = 'iri'").select(*place, F.col("o").alias("s"))
+        if hop == 0:
+            named = triples if properties is None else triples.filter(F.col("p").startswith(properties))
+            about = about.unionByName(named.select(*place, F.col("p").alias("s")))
+        new = about.distinct().join(more, "s").select(*TRIPLE, *place)
+        out = out.unionByName(new)
+    return out.distinct()
 
 
 def model_matrix(triples: DataFrame) -> DataFrame:
@@ -117,6 +143,14 @@ def renamed(triples: DataFrame, salt: str) -> DataFrame:
     return triples.withColumn("o", F.when(F.col("o_kind") == "iri", new("o")).otherwise(F.col("o"))).withColumn("s", new("s")).withColumn("p", new("p"))
 
 
+def with_header_row(matrix: DataFrame, properties: DataFrame, first_row: int = 0) -> DataFrame:
+    """matrix with the properties' models (sheet, col, model) in the row before first_row; that row must be empty."""
+    taken = matrix.filter(F.col("row") == first_row - 1)
+    if not taken.isEmpty():
+        raise ValueError(f"row {first_row - 1} already holds cells")
+    return matrix.unionByName(properties.select("sheet", F.lit(first_row - 1).cast(matrix.schema["row"].dataType).alias("row"), "col", "model"))
+
+
 def resources(triples: DataFrame) -> DataFrame:
     """(kind, iri): distinct subjects and resource objects, and properties."""
     nodes = triples.select(F.col("s").alias("iri")).unionByName(triples.filter("o_kind = 'iri'").select(F.col("o").alias("iri"))).distinct()
@@ -141,11 +175,11 @@ def f_score(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(p + r == 0, 0.0).otherwise(F.coalesce(F.try_divide(2 * p * r, p + r), nan))
 
 
-def best_solution(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Per key the row with the highest F; of equal ones, and where there is no F, the last by order wins."""
-    f = f_score(F.col("tp"), F.col("fp"), F.col("fn"))
-    w = Window.partitionBy(*key).orderBy(F.col("f").desc(), F.col(order).desc())
-    return rows.withColumn("f", f).withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+def best_solution(rows: DataFrame, key: list[str], order: list) -> DataFrame:
+    """Per key the row with the highest F, to nine places; of equal ones, and where there is no F, the last by order wins. One aggregate, no sort."""
+    f = F.round(f_score(F.col("tp"), F.col("fp"), F.col("fn")), 9)
+    top = rows.groupBy(*key).agg(F.max(F.struct(f.alias("f"), F.struct(*order).alias("order"), F.struct(*rows.columns).alias("row"))).alias("best"))
+    return top.select("best.row.*", "best.f")
 
 
 def micro_totals(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -178,3 +212,26 @@ def applicable(approaches: DataFrame, datasets: DataFrame) -> DataFrame:
     return a.join(d, "tag").select("approach", "dataset").distinct()
 
 
+
+
+def named(rows: DataFrame, pattern: str, name: str = "name") -> DataFrame:
+    """Rows whose name matches a pattern."""
+    return rows.filter(F.col(name).rlike(pattern))
+
+
+def paired_files(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(name, expected, actual): files of the same name, from rows of path; of several actual ones the first path counts."""
+    by_name = lambda df, to: df.groupBy(F.substring_index("path", "/", -1).alias("name")).agg(F.min("path").alias(to))
+    return by_name(expected, "expected").join(by_name(actual, "actual"), "name")
+
+
+def against_baseline(approach: DataFrame, baseline: DataFrame, on: str, value: str) -> DataFrame:
+    """(on, approach, baseline, gain) of the mean value by mode."""
+    mean = lambda df, to: df.groupBy(on).agg(F.avg(value).alias(to))
+    both = mean(approach, "approach").join(mean(baseline, "baseline"), on)
+    return both.withColumn("gain", F.col("approach") - F.col("baseline"))
+
+
+def sets_of(a: Column, b: Column) -> Column:
+    """(both, only_a, either) of two arrays as sets, sorted."""
+    return F.struct(F.sort_array(F.array_intersect(a, b)).alias("both"), F.sort_array(F.array_except(a, b)).alias("only_a"), F.sort_array(F.array_union(a, b)).alias("either"))

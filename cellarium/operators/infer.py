@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellarium.functions.parse import DOUBLE, INT, parse_dates
 from cellarium.functions.text import jtrim
-from cellarium.operators.profile import KEY, counted, dup_score, plain_string, separator_counts, type_histogram
+from cellarium.operators.profile import KEY, counted, dup_score, near, plain_string, separator_counts, type_histogram
 
 #: Hypotheses in order of insertion, with their ranks.
 HYPOTHESES = (
@@ -108,7 +108,7 @@ def segments(table: DataFrame) -> DataFrame:
     """(key, segment, c): pieces of texts between their column's separators, trimmed; trailing empty pieces are none."""
     found = separator_counts(table).groupBy(*KEY).agg(F.sort_array(F.collect_list("separator")).alias("chars"))
     # One row per column: the separators of a column are a set of characters, not of rows.
-    rows = table.filter(plain_string()).join(F.broadcast(found), KEY)
+    rows = table.filter(plain_string()).join(near(found), KEY)
     last = lambda p: F.aggregate(F.transform(p, lambda x, i: F.when(x != "", i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
     pieces = rows.select(*KEY, F.split(F.aggregate("chars", F.col("value_string"), lambda s, c: F.replace(F.replace(s, c, F.lit("\x00")), F.upper(c), F.lit("\x00"))), "\x00", -1).alias("p"))
     return pieces.select(*KEY, F.explode(F.slice("p", F.lit(1), last(F.col("p")))).alias("segment")).select(*KEY, jtrim(F.col("segment")).alias("segment")).groupBy(*KEY, "segment").agg(F.count(F.lit(1)).alias("c"))
@@ -151,6 +151,14 @@ def infer(table: DataFrame) -> DataFrame:
     return best(scores(table)).select(*KEY, "hypothesis", F.round("score", 9).alias("score"))
 
 
+def infer_styles(styled: DataFrame) -> DataFrame:
+    """(key, style, hypothesis, score) of each style of formatted texts in each column, as cells of its own (from richtext.styled_cells)."""
+    joined = F.concat_ws("\x1f", F.coalesce("header", F.lit("")), F.col("style"))
+    found = infer(styled.withColumn("header", joined).withColumn("sheet", F.concat_ws("\x1f", "sheet", "style")))
+    part = lambda c, i: F.split(c, "\x1f")[i]
+    return found.select(part("sheet", 0).alias("sheet"), "col", part("header", 0).alias("header"), part("header", 1).alias("style"), "hypothesis", "score")
+
+
 def bool_symbols(symbols: list[str]) -> tuple[list[str], list[str]]:
     """(true, false) symbols among two or fewer: x and y make true, `-` and n false and win; of two the order is lexicographic unless the first is false and the second true."""
     polarity = lambda s: not ("-" in s.lower() or "n" in s.lower())

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from cellarium.functions.text import is_formatted, is_uri, jtrim, separators, tokens
 
 KEY = ["sheet", "col", "header"]
+#: Rows of a per-column table that are broadcast.
+MAX_COLUMNS = 200_000
+
+
+def near(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has MAX_COLUMNS rows at most."""
+    return F.broadcast(df) if df.limit(MAX_COLUMNS + 1).count() <= MAX_COLUMNS else df
 
 
 def plain_string() -> Column:

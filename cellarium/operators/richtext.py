@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellarium.functions.text import is_formatted
+
 BLACK = "#000000"
 
 
@@ -95,3 +97,30 @@ def unformatted(rich: Column) -> Column:
 
 def styles_of(rich: Column) -> Column:
     return _column(rich, styles)
+
+
+def styled_texts(markup: str) -> list[tuple[str, str]]:
+    """(style, text) of each style that occurs: the texts of its elements, joined by spaces."""
+    tree = _Tree(markup)
+    out: dict[str, list[str]] = {}
+    for e in tree.elements:
+        if t := _text(e[3]):
+            out.setdefault(e[0] if e[1] is None else f"{e[0]} {e[1]}", []).append(t)
+    if t := _text(tree.own):
+        out["unformatted"] = [t]
+    return sorted((k, " ".join(v)) for k, v in out.items())
+
+
+def styled_cells(table: DataFrame) -> DataFrame:
+    """The formatted texts of a cell table as plain text cells, one for each style, with a column style."""
+
+    @F.arrow_udf("array<struct<style:string,text:string>>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("style", pa.string()), ("text", pa.string())]))
+        for b in batches:
+            yield pa.array([[{"style": k, "text": t} for k, t in styled_texts(v)] if (v := x.as_py()) else [] for x in b], kind)
+
+    rows = table.filter((F.col("cell_type") == "string") & is_formatted(F.col("value_rich_text")))
+    each = rows.withColumn("one", F.explode(split(F.col("value_rich_text"))))
+    none = F.lit(None).cast("string")
+    return each.withColumn("value_string", F.col("one.text")).withColumn("style", F.col("one.style")).withColumn("value_rich_text", none).drop("one")

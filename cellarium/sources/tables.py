@@ -8,18 +8,24 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellarium.functions.text import a1_column, a1_row
+from cellarium.functions.text import a1_address, a1_column, a1_row
 
 #: Columns of the evaluation table.
 EVALUATION = ("name", "abbrev", "generator", "source", "mode", "preprocessing", "approach", "accuracy", "precision", "recall", "f-score", "tp", "fp", "fn", "relevant", "retrieved", "file-comp", "mod-comp", "approach duration", "evaluation duration", "approach exception", "evaluation exception")
 
 
+def _numbered(raw: DataFrame) -> DataFrame:
+    """raw with the path of each record's file and its number in it. Such files are not split, so a file's records lie in order in one partition."""
+    rows = raw.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("__id"))
+    first = rows.groupBy("path").agg(F.min("__id").alias("__first"))
+    return rows.join(first, "path").withColumn("row", F.col("__id") - F.col("__first")).drop("__id", "__first")
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, model) of a matrix file without header: its cells that are not empty. A file is read as one, its rows numbered in order."""
+    """(path, row, col, model) of matrix files without header: their cells that are not empty, by file."""
     raw = spark.read.csv(path, header=False, multiLine=True, escape='"')
-    numbered = raw.withColumn("row", F.monotonically_increasing_id())
     cells = F.array(*(F.struct(F.lit(i).alias("col"), F.col(c).alias("model")) for i, c in enumerate(raw.columns)))
-    return numbered.select("row", F.explode(cells).alias("c")).select("row", "c.*").filter("model is not null and model <> ''")
+    return _numbered(raw).select("path", "row", F.explode(cells).alias("c")).select("path", "row", "c.*").filter("model is not null and model <> ''")
 
 
 def write_matrix(grid: DataFrame, path: str) -> None:
@@ -29,10 +35,23 @@ def write_matrix(grid: DataFrame, path: str) -> None:
 
 
 def read_provenance(spark: SparkSession, path: str) -> DataFrame:
-    """(sheet, row, col, statements) of provenance files; the last statement of an address wins."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("__n", F.monotonically_increasing_id())
-    last = raw.groupBy("sheet", "address").agg(F.max_by("statements", "__n").alias("statements"))
-    return last.select("sheet", a1_row(F.col("address")).alias("row"), a1_column(F.col("address")).alias("col"), "statements")
+    """(path, sheet, row, col, statements) of provenance files; the last statement of an address in its file wins."""
+    rows = _numbered(spark.read.csv(path, header=True, multiLine=True, escape='"'))
+    last = rows.groupBy("path", "sheet", "address").agg(F.max_by("statements", "row").alias("statements"))
+    return last.select("path", "sheet", a1_row(F.col("address")).alias("row"), a1_column(F.col("address")).alias("col"), "statements")
+
+
+def write_provenance(triples: DataFrame, path: str) -> None:
+    """The statements of each cell (sheet, address, statements) as gzipped CSV."""
+    from cellarium.operators.graph import model_matrix
+
+    cells = model_matrix(triples).select("sheet", a1_address(F.col("col"), F.col("row")).alias("address"), F.col("model").alias("statements"))
+    cells.write.mode("overwrite").option("compression", "gzip").csv(path, header=True, escape='"')
+
+
+def provenance_range(table: DataFrame) -> DataFrame:
+    """(sheet, min_row, max_row, min_col, max_col)."""
+    return table.groupBy("sheet").agg(*(f(c).cast("bigint").alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("min", F.min), ("max", F.max))))
 
 
 def provenance_dimensions(table: DataFrame) -> DataFrame:
@@ -69,21 +88,49 @@ def root_dataset(dataset: dict) -> dict:
     return dataset
 
 
-def discover(paths: list[str]) -> list[dict]:
-    """Datasets of workbook paths, named in order, each with its two converted variants as children."""
+#: Marks of the two corpora, variants of a workbook, and files that are no dataset.
+CORPORA = {"DS": "workbooks", "DG": "open data"}
+VARIANTS = ("x2c", "ssc")
+SKIPPED = ("All_ProvenanceAsCellComment",)
+
+
+def workbook_paths(spark: SparkSession, root: str) -> list[str]:
+    """The workbooks under a folder, at any depth; names only, no contents are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(root)
+    return sorted(r["path"] for r in files.select("path").collect())
+
+
+def discover(paths: list[str], corpus: str = "DS", skipped: tuple[str, ...] = SKIPPED, start_columns: dict[str, int] | None = None) -> list[dict]:
+    """Datasets of workbook paths, named in order by their corpus, each with its two converted variants as children. start_columns: of names that do not start at 0."""
     out = []
-    for i, p in enumerate(sorted(paths)):
-        root = {"name": p.rsplit("/", 1)[-1], "abbrev": f"DS{i}", "folder": p, "tags": ["excel"], "parent": None, "start_column": 0}
+    own = [p for p in sorted(paths) if not any(x in p for x in skipped)]
+    for i, p in enumerate(own):
+        name = p.rsplit("/", 1)[-1]
+        start = next((n for part, n in (start_columns or {}).items() if part in p), 0)
+        root = {"name": name, "abbrev": f"{corpus}{i}", "folder": p, "tags": ["excel"], "parent": None, "start_column": start}
         out.append(root)
-        out += [{**root, "abbrev": f"DS{i}-{v}", "tags": ["csv"], "parent": root} for v in ("x2c", "ssc")]
+        out += [{**root, "abbrev": f"{corpus}{i}-{v}", "tags": ["csv"], "parent": root} for v in VARIANTS]
     return out
 
 
-def report(confusion: list[dict]) -> str:
-    """An HTML table of compared cells; for people, so the rows are few."""
+def report(confusion: list[dict], triples: dict[tuple, dict[str, list[str]]] | None = None) -> str:
+    """An HTML table of compared cells, with the triples found, missed and wrong of each (sheet, row, col); for people, so the rows are few."""
     head = ("sheet", "row", "col", "tp", "fn", "fp")
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[c]))}</td>" for c in head) + "</tr>" for r in confusion)
-    return "<table><tr>" + "".join(f"<th>{c}</th>" for c in head) + f"</tr>{body}</table>"
+    cells = lambda own: "".join(f"<td>{'<br>'.join(html.escape(t) for t in sorted(own.get(k, [])))}</td>" for k in ("tp", "fn", "fp"))
+    more = lambda r: cells(triples.get((r["sheet"], r["row"], r["col"]), {})) if triples is not None else ""
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(r[c]))}</td>" for c in head) + more(r) + "</tr>" for r in confusion)
+    names = (*head, "found", "missed", "wrong") if triples is not None else head
+    return "<table><tr>" + "".join(f"<th>{c}</th>" for c in names) + f"</tr>{body}</table>"
+
+
+def sorted_lines(rows: DataFrame, line: str) -> list[str]:
+    """The lines of a report in order."""
+    return [r[line] for r in rows.select(line).orderBy(line).collect()]
+
+
+def sheets_by_name(table: DataFrame) -> DataFrame:
+    """(sheet, place): the sheets in order of their names."""
+    return table.select("sheet").distinct().withColumn("place", F.row_number().over(Window.orderBy("sheet")) - 1)
 
 
 def score_log(scored: DataFrame) -> DataFrame:

@@ -125,3 +125,14 @@ def n_triples(o_type: bool = True) -> Column:
 
 def write_n_triples(triples: DataFrame, path: str) -> None:
     triples.select(n_triples().alias("value")).write.mode("overwrite").text(path)
+
+
+def prefixed(line: Column, prefixes: dict[str, str]) -> Column:
+    """N-Triples lines with their IRIs shortened by prefixes."""
+    for name, iri in sorted(prefixes.items(), key=lambda p: -len(p[1])):
+        line = F.regexp_replace(line, "<" + re.escape(iri) + r"([A-Za-z_][\w-]*)>", f"{name}:$1")
+    return line
+
+
+def prefix_header(prefixes: dict[str, str]) -> str:
+    return "".join(f"@prefix {name}: <{iri}> .\n" for name, iri in sorted(prefixes.items()))

@@ -97,10 +97,11 @@ def test_rich_text():
     assert richtext.unformatted_text(m) == "x y black" and richtext.styles(m) == ["b", "font #000000", "font #ff0000", "unformatted"]
 
 
-def test_mentions():
-    labels = (("new york", "u:ny"), ("york", "u:y"), ("new", "u:n"))
-    assert entities.mentions("in new york, old york", labels) == [("u:ny", 3, 11), ("u:y", 17, 21)]
-    assert entities.mentions("", labels) == [] and entities.mentions("x", ()) == []
+def test_mentions(spark):
+    labels = spark.createDataFrame([("new york", "u:ny"), ("york", "u:y"), ("new", "u:n")], "label string, iri string")
+    texts = spark.createDataFrame([(1, "in new york, old york"), (2, ""), (3, None)], "k int, t string")
+    found = lambda d: {tuple(r) for r in entities.linked(texts, d, "k", "t").collect()}
+    assert found(labels) == {(1, "u:ny", 1, 3), (1, "u:y", 1, 17)} and found(labels.limit(0)) == set()
 
 
 def test_renaming_keeps_confusion(spark):
@@ -118,3 +119,96 @@ def test_header_and_described(spark):
 
 def test_human_bytes():
     assert text.human_bytes(10) == "10 B" and text.human_bytes(1536) == "1.5 KiB"
+
+
+def test_flag_symbols_and_rules(spark):
+    from pyspark.sql import functions as F
+
+    from cellarium.operators import rules
+
+    rows = spark.createDataFrame([(["no", "yes"],), (["x"],), (["-"],), (["f", "m"],), (["-", "n"],)], "s array<string>")
+    got = [(list(r["f"]["trues"]), list(r["f"]["falses"])) for r in rows.select(rules.flag_symbols(F.col("s")).alias("f")).collect()]
+    assert got == [(["yes"], ["no"]), (["x"], []), ([], ["-"]), (["f"], ["m"]), (["-"], ["n"])]
+    assert [infer.bool_symbols(s) for s in (["yes", "no"], ["x"], ["-"])] == got[:3]
+    text = spark.createDataFrame([("a; b,,B ",)], "t string")
+    assert text.select(rules.pieces(F.col("t"), F.array(F.lit(";"), F.lit(","))).alias("p")).first()["p"] == ["a", "b", "B"]
+
+
+def test_known_entities_are_no_symbols(spark):
+    from cellarium.operators import rules
+    from cellarium.operators.cells import cells
+
+    table = cells(spark.createDataFrame([(i, "Ann" if i % 2 else "yes") for i in range(6)], "k int, v string"), "s", "k")
+    winners = spark.createDataFrame([("s", 0, "str_bool")], "sheet string, col int, hypothesis string")
+    known = spark.createDataFrame([("Ann", "urn:a")], "label string, iri string")
+    assert rules.column_rules(table, winners).first()["trues"] == ["Ann"] or rules.column_rules(table, winners).first()["falses"]
+    r = rules.column_rules(table, winners, known).first()
+    assert (r["trues"], r["falses"]) == (["yes"], [])
+
+
+def test_terms_by_type(spark):
+    from pyspark.sql import functions as F
+
+    from cellarium.functions import registry as fr
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    texts = F.array(F.lit("on 1.2.2020"), F.lit("Ann 7"), F.lit('say "x"'))
+    entity = F.create_map(F.lit("Ann 7"), F.lit("urn:ann"))
+    assert one(fr.terms_of(texts, fr.RR + "IRI", entity=entity)) == ["urn:ann"]
+    assert one(fr.terms_of(texts, fr.RR + "Literal", fr.XSD + "date")) == ["2020-02-01"]
+    assert one(fr.terms_of(texts, fr.RR + "Literal", fr.XSD + "integer"))[-1] == "7"
+    assert one(fr.terms_of(texts, fr.RR + "Literal", fr.XSD + "string")) == ["on 1.2.2020", "Ann 7", 'say "x"']
+    assert one(fr.terms_of(texts, entity=entity)) == ["2020-02-01", "urn:ann", 'say "x"']
+
+
+def test_long_columns_and_days(spark):
+    from pyspark.sql import functions as F
+
+    from cellarium.functions import parse, text
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    letters = lambda n: ("" if n < 26 else letters(n // 26 - 1)) + chr(65 + n % 26)
+    for n in (0, 25, 26, 701, 702, 18277, 18278, 475253, 475254, 2**31 - 1):
+        assert one(text.column_letters(F.lit(n))) == letters(n)
+    assert str(one(parse.parse_day(F.lit("2020/2/29")))) == "2020-02-29" and one(parse.parse_day(F.lit("2021/2/29"))) is None
+    assert one(parse.is_internal_date_format(F.lit(14))) and not one(parse.is_internal_date_format(F.lit(1)))
+
+
+def test_linking_in_parts(spark):
+    """A dictionary searched in parts gives what it gives at once, overlaps resolved across parts."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cellarium.operators import entities
+
+    rng = random.Random(2)
+    labels = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(30)})
+    texts = [(i, "".join(rng.choice("abcd ") for _ in range(60))) for i in range(40)] + [(90, None), (91, "")]
+    want = set()
+    for k, t in texts:
+        at, seen = 0, {}
+        while t and at < len(t):
+            fit = max((w for w in labels if t.startswith(w, at)), key=len, default="")
+            if fit:
+                seen.setdefault(fit, []).append(at)
+            at += max(len(fit), 1)
+        want |= {(k, w, len(p), p[0]) for w, p in seen.items()}
+    docs = spark.createDataFrame(texts, "k int, t string")
+    dictionary = spark.createDataFrame([(w, w) for w in labels], "label string, iri string")
+    for most in (5, 1000):
+        assert {tuple(r) for r in entities.linked(docs, dictionary, "k", "t", most).select("k", "iri", "n", "first").collect()} == want
+        got = {tuple(r) for r in entities.contained(docs, dictionary, "k", "t", most).collect()}
+        assert got == {(k, w) for k, t in texts for w in labels if t and w in t}
+
+
+def test_matching_beyond_its_tries():
+    from cellarium.operators import match
+
+    graph = lambda m, n: [(f"{m}{i}", f"{m}p", f"v{i}", True) for i in range(n)] + [(f"{m}{i}", f"{m}q", f"{m}{(i + 1) % n}", False) for i in range(n)]
+    found = match.match(graph("a", 20), graph("e", 20))
+    assert len(found) == 1 and found[0] == {**{f"a{i}": f"e{i}" for i in range(20)}, "ap": "ep", "aq": "eq"}
+    budget = match.Budget(100)
+    assert match.match(graph("a", 20), graph("e", 20), budget=budget) and budget.spent
+    assert match.match_complete(graph("a", 6), graph("e", 6)) == [{**{f"a{i}": f"e{i}" for i in range(6)}, "ap": "ep", "aq": "eq"}]
+    assert match.match_turtle('<urn:a> <urn:p> "v" .', '<urn:b> <urn:q> "v" .') == [[("urn:a", "urn:b"), ("urn:p", "urn:q")]]
