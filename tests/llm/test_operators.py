@@ -251,6 +251,67 @@ def test_fertility(spark, sf):
     assert sum(r["kept"] for r in good) > 0.9 * len(good)
 
 
+def test_fertility_against_tokenizers(spark, sf):
+    """Measures, bands and verdicts against the vocabularies used word by word and numpy's quantiles."""
+    import base64
+    import importlib.util
+    import math
+    from pathlib import Path
+
+    import sentencepiece
+    import tiktoken
+
+    at = Path(fertility.TOKENIZERS)
+    spec = importlib.util.spec_from_file_location("vocabulary_files", at / "__init__.py")
+    public = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(public)
+    piece = sentencepiece.SentencePieceProcessor(model_file=str(at / "piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (at / "byte_bpe_50k.tiktoken").read_bytes().splitlines())}
+    other = tiktoken.Encoding("bytes", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    measured = {}
+    for d, t, lang, *_ in documents():
+        words = re.findall(WS, t or "")
+        plain = [w for w in words if not re.search("[0-9]", w)]
+        ids = [i for w in plain for i in piece.encode(w)]
+        n, chars = len(ids), sum(map(len, plain))
+        times = collections.Counter(ids)
+        entropy = -sum(c / n * math.log2(c / n) for c in times.values()) / math.log2(min(n, piece.vocab_size())) if n > 1 else 0.0
+        m = (chars / max(n, 1), chars / max(sum(len(other.encode_ordinary(" " + w)) for w in plain), 1), sum(piece.is_byte(i) for i in ids) / max(n, 1), entropy)
+        measured[d, t] = (lang, len(words), m)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    rows = fertility.measured(docs, "q").cache()
+    got = {(r["doc_id"], r["text"]): (r["lang"], r["q"]["n_words"], tuple(r["q"][m] for m in fertility.METRICS)) for r in rows.collect()}
+    assert set(got) == set(measured) and all(got[k][:2] == measured[k][:2] and got[k][2] == pytest.approx(measured[k][2], abs=1e-9) for k in got)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    size = lambda n: int(math.log2(max(n, 1)))
+    by = collections.defaultdict(list)
+    for (d, _), (lang, n, m) in measured.items():
+        if d in good:
+            by[lang, size(n)].append(m)
+            by[lang, None].append(m)
+    bands = {}
+    for key, own in by.items():
+        if len(own) >= 12:
+            q = np.percentile(np.round(np.array(own), fertility.PLACES), [25, 50, 75], axis=0)
+            spread = (q[2] - q[0]) / 1.349 * fertility.BAND_WIDTH + 0.01
+            bands[key] = list(zip(q[1] - spread, q[1] + spread, strict=True))
+    assert any(k[1] is None for k in bands) and any(k[1] is not None for k in bands)
+    fitted = fertility.fit_bands(fertility.good_rows(rows, labels, "q"), least=12)
+    assert {(r["b_lang"], r["b_size"]) for r in fitted.collect()} == set(bands)
+    verdict = collections.Counter(((r["doc_id"], r["text"]), r["v"]["kept"]) for r in fertility.judged(rows, fitted, "lang", "q", "v").collect())
+    base = {(r["doc_id"], r["text"]): r["q"] for r in rows.collect()}
+    for (key, kept), _ in verdict.items():
+        lang, n, m = measured[key]
+        own = bands.get((lang, size(n))) or bands.get((lang, None))
+        if own is None:
+            low, high = fertility.SCRIPT_BANDS[base[key]["script"]]
+            own = [(low, high), (low, high), (0, fertility.MAX_BYTE_SHARE), (fertility.MIN_ENTROPY, 1)]
+        own = [own[0], own[1], (0.0, own[2][1]), own[3]]
+        failed = n < 50 or 100 * base[key]["n_repeat_words"] > 50 * n
+        assert kept == (not failed and all(low <= x <= high for x, (low, high) in zip(m, own, strict=True))), (key[0], m, own)
+
+
 def test_repeated_words_beyond_packed_keys():
     import numpy as np
 
@@ -917,6 +978,42 @@ def test_pipeline(spark, sf, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_pipeline_stages_against_brute_force(spark, sf):
+    """Near-dedup against five-word similarities of all pairs, decontamination against the longest common subsequence of all pairs, masking against the patterns."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = [(300 + i, " ".join([*t.split()[: k], "changed", *t.split()[k + 1 :]]), "en", "src0", 1, *[None] * 6) for i, (_, t, *_) in enumerate(documents()[:12]) for k in (i * 3,)]
+    leaks = [(400 + i, f"{documents()[20 + i][1]} {BENCHMARK[i]}", "de", "src1", 1, *[None] * 6) for i in range(6)]
+    docs = docs.unionByName(spark.createDataFrame(more + leaks, docs.schema))
+    rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id is not null").collect()]
+    sets = [shingles(t) if re.search(WS, t or "") else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and (a == sets[j] or (a and sets[j] and similarity(a, sets[j]) >= 0.8)):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if x == old else x for x in root]
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least[r] = min(d, least.get(r, d))
+    kept = corpus_pipeline.written(simhash.dedup_stage(spark, docs, sf), "kept")
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(set(least.values()))
+    left = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    words = lambda t: [w.decode() for w in decontaminate.words_of(t.encode())]
+    holds = {d for d, t in left if len(t) < 20_000 and any(longest_common(words(b), words(t)) >= 0.7 * len(words(b)) and b in t for b in BENCHMARK)}
+    clean = {r["doc_id"] for r in decontaminate.decontaminate_stage(spark, kept, sf).collect()}
+    assert holds >= {400, 405, 209} and clean == {d for d, _ in left} - holds
+    masked = {r["doc_id"]: r["text"] for r in secrets.secrets_stage(spark, kept.filter("doc_id is not null"), sf).collect()}
+    for d, t in left:
+        if d is not None:
+            want, at = [], 0
+            for start, _, end in base_spans(t):
+                if start >= at:
+                    want.append(t[at:start])
+                    at = end
+                at = max(at, end)
+            assert (masked[d] or "") == "[SECRET]".join([*want, t[at:]])
+
+
 def test_entities_in_blocks():
     assert webtext.blocks_of("<p>a &amp; b<p class='notice'>n<p>c<!-- x --><style>p</style>") == [("a & b", 1), ("n", 0), ("c", 1)]
     assert html.unescape("&amp;") == "&"
