@@ -13,8 +13,9 @@ MAX_COLUMNS = 200_000
 
 
 def near(df: DataFrame) -> DataFrame:
-    """df, broadcast if it has MAX_COLUMNS rows at most."""
-    return F.broadcast(df) if df.limit(MAX_COLUMNS + 1).count() <= MAX_COLUMNS else df
+    """df, a table of a row per column, kept, and broadcast if it has MAX_COLUMNS rows at most."""
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= MAX_COLUMNS else df
 
 
 def plain_string() -> Column:
