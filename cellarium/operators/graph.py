@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellarium.functions.parse import parse_decimals, parse_ints, serial_to_date, serial_to_timestamp
 from cellarium.functions.parse import dates_only as parse_date_texts
 from cellarium.functions.parse import datetimes_only as parse_datetime_texts
-from cellarium.functions.text import a1_address, class_iri, jtrim, property_iri, subject_iri
+from cellarium.functions.text import a1_address, class_iri, jtrim, property_iri, property_name, subject_iri
 from cellarium.operators.profile import near
 from cellarium.operators.rules import column_rules, parse_flag, pieces
 
@@ -120,6 +120,15 @@ def grid(matrix: DataFrame, columns: list[int]) -> DataFrame:
     return matrix.groupBy("sheet", "row").pivot("col", columns).agg(F.first("model")).select("sheet", "row", *(F.col(str(c)).alias(f"c{c}") for c in columns))
 
 
+def plain_triples(table: DataFrame, base: str = "http://example.org/csv/") -> DataFrame:
+    """What an extractor without any inference makes of a table: a literal for each cell, of its row's subject and its column's predicate, and a label for each column."""
+    column = F.concat(F.lit(base), F.lit("column/"), property_name(F.col("header")))
+    value = F.coalesce("value_string", F.col("value_numeric").cast("string"), F.col("value_boolean").cast("string"))
+    cells = table.select(F.concat(F.lit(base), F.lit("row/"), F.col("row").cast("string")).alias("s"), column.alias("p"), value.alias("o"), F.lit("literal").alias("o_kind"), "row", "col")
+    labels = table.select("header", "col").distinct().select(column.alias("s"), F.lit(RDFS_LABEL).alias("p"), F.col("header").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("bigint").alias("row"), "col")
+    return cells.unionByName(labels)
+
+
 def row_column_matrix(triples: DataFrame, rows: DataFrame, predicates: DataFrame, subjects: DataFrame) -> DataFrame:
     """Places of triples that a row and column extractor made: by row number of the subject and column of the predicate to (col, row + 1), by column of the subject to (col, 0)."""
     joined = triples.join(rows, "s", "left").join(predicates, "p", "left").join(subjects, "s", "left")

@@ -94,3 +94,10 @@ def separator_counts(table: DataFrame) -> DataFrame:
     """(key, separator, n), formatted texts included."""
     each = table.filter("cell_type = 'string'").select(*KEY, F.explode(separators(F.col("value_string"))).alias("separator"))
     return each.groupBy(*KEY, "separator").agg(F.count(F.lit(1)).alias("n"))
+
+
+def entity_numbers(table: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, n_entities): the distinct trimmed texts of a column that are labels of known."""
+    labels = known.select("label").distinct()
+    texts = table.filter(plain_string()).select(*KEY, jtrim(F.col("value_string")).alias("label")).distinct()
+    return texts.join(labels, "label", "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_entities"))

@@ -421,6 +421,27 @@ def cell_offset_reference(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("row", F.col("value_string").alias("own"), F.col("beside").cast("double").alias("number"))
 
 
+_CSV = "http://example.org/csv/"
+
+
+@query(f"""SELECT '{_CSV}row/' || n_nationkey AS s, '{_CSV}column/n_name' AS p, n_name AS o, n_nationkey + 1 AS "row", 0 AS col FROM nation
+UNION ALL SELECT '{_CSV}row/' || n_nationkey, '{_CSV}column/n_regionkey', CAST(n_regionkey::DOUBLE AS VARCHAR), n_nationkey + 1, 1 FROM nation
+UNION ALL SELECT '{_CSV}column/' || x, 'http://www.w3.org/2000/01/rdf-schema#label', x, 0, i FROM (VALUES ('n_name', 0), ('n_regionkey', 1)) t(x, i)""")
+def row_column_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """Triples without inference, put back at the cells they came from by what they say."""
+    made = G.plain_triples(sheets(spark, sf, {"nation": None}))
+    rows = made.filter("row is not null").select("s", F.col("row").alias("row_no")).distinct()
+    predicates = made.filter("row is not null").select("p", F.col("col").alias("p_col")).distinct()
+    subjects = made.filter("row is null").select("s", F.col("col").alias("s_col")).distinct()
+    return G.row_column_matrix(made.select("s", "p", "o", "o_kind"), rows, predicates, subjects).select("s", "p", "o", "row", "col")
+
+
+@query(f"WITH {sql_sheets(_PARTS)} SELECT sheet, col, header, count(DISTINCT vs) AS n_entities FROM cells WHERE vs IN (SELECT p_brand FROM part WHERE p_size > 20) GROUP BY ALL")
+def entity_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    known = read(spark, sf, "part").filter("p_size > 20").select(F.col("p_brand").alias("label"))
+    return P.entity_numbers(sheets(spark, sf, _PARTS), known)
+
+
 def _perturbed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     nation = read(spark, sf, "nation")
     one = lambda o: nation.select(F.col("n_regionkey").alias("cell"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("s"), F.lit("name").alias("p"), o.alias("o"), F.lit("literal").alias("o_kind"))
