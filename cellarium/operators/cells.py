@@ -76,7 +76,7 @@ def selected(table: DataFrame, sheets: list[str] | None = None, start_col: int =
 
 
 #: Fields of a cell by name; valueInt is the whole part of a number.
-FIELDS = {"value": "coalesce(value_string, cast(value_numeric as string), cast(value_boolean as string))", "valueString": "value_string", "valueInt": "try_cast(value_numeric as int)", "valueNumeric": "value_numeric", "valueBoolean": "value_boolean", "valueRichText": "value_rich_text"}
+FIELDS = {"value": "coalesce(value_string, cast(value_numeric as string), cast(value_boolean as string))", "valueString": "value_string", "valueInt": "try_cast(value_numeric as int)", "valueNumeric": "value_numeric", "valueBoolean": "value_boolean", "valueRichText": "value_rich_text", "backgroundColor": "background_color"}
 
 
 def beside(table: DataFrame, dx: int, dy: int = 0, field: str = "valueString", to: str = "beside") -> DataFrame:

@@ -12,7 +12,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "path string, sheet_id int, sheet string, row bigint, col int, address string, cell_type string, value_string string, value_numeric double, value_boolean boolean, value_rich_text string, data_format string"
+SCHEMA = "path string, sheet_id int, sheet string, row bigint, col int, address string, cell_type string, value_string string, value_numeric double, value_boolean boolean, value_rich_text string, data_format string, formula string, background_color string"
 #: Built-in number formats that show dates or times.
 BUILT_IN = {14: "mm/dd/yyyy;@", 15: "D. MMM. YYYY", 16: "d-mmm", 17: "mmm-yy", 18: "HH:MM AM/PM", 19: "HH:MM:SS AM/PM", 20: "HH:MM", 21: "HH:MM:SS", 22: "m/d/yy h:mm", 45: "mm:ss", 46: "[HH]:MM:SS", 47: "MM:SS.00"}
 _NS = re.compile(r"\{.*?\}")
@@ -65,6 +65,8 @@ def read_workbook(data: bytes) -> Iterator[tuple]:
         style = part("xl/styles.xml")
         own = {int(f.get("numFmtId")): f.get("formatCode") for g in _kids(style, "numFmts") for f in g}
         formats = [(i := int(x.get("numFmtId", 0))) and (own.get(i) or BUILT_IN.get(i)) or None for g in _kids(style, "cellXfs") for x in g]
+        fills = [next(("#" + c.get("rgb")[-6:].lower() for pattern in fill for c in _kids(pattern, "fgColor") if c.get("rgb")), None) for g in _kids(style, "fills") for fill in g]
+        colors = [fills[i] if (i := int(x.get("fillId", 0))) < len(fills) else None for g in _kids(style, "cellXfs") for x in g]
         links = {r.get("Id"): r.get("Target").lstrip("/") for r in part("xl/_rels/workbook.xml.rels")}
         sheets = [s for g in _kids(part("xl/workbook.xml"), "sheets") for s in g]
         for number, s in enumerate(sheets):
@@ -75,6 +77,9 @@ def read_workbook(data: bytes) -> Iterator[tuple]:
                     address, kind = c.get("r"), c.get("t", "n")
                     value = next((v.text for v in _kids(c, "v")), None)
                     text, rich, num, flag, fmt = None, None, None, None, None
+                    formula = next((f.text for f in _kids(c, "f")), None)
+                    style_id = int(c.get("s", 0))
+                    color = colors[style_id] if style_id < len(colors) else None
                     if kind == "s" and value is not None:
                         text, rich = shared[int(value)]
                     elif kind == "inlineStr":
@@ -85,19 +90,18 @@ def read_workbook(data: bytes) -> Iterator[tuple]:
                         flag = value == "1"
                     elif value is not None:
                         num = float(value)
-                        style_id = int(c.get("s", 0))
                         fmt = formats[style_id] if style_id < len(formats) else None
                     if text is None and num is None and flag is None:
                         continue
                     r, col = _place(address)
-                    yield number, s.get("name"), r, col, address, "boolean" if flag is not None else "numeric" if num is not None else "string", text, num, flag, rich, fmt
+                    yield number, s.get("name"), r, col, address, "boolean" if flag is not None else "numeric" if num is not None else "string", text, num, flag, rich, fmt, formula, color
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """The cells of all workbooks under a path."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string()]
+        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string()]
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for b in batches:
             for where, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -18,10 +18,25 @@ def test_workbook_to_types(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(xlsx.workbook_bytes({"One": rows, "Two": [["x"], [None, "y"]]}))
     loaded = xlsx.read_xlsx(spark, str(tmp_path))
     assert {(r["sheet"], r["count"]) for r in loaded.groupBy("sheet").count().collect()} == {("One", 24), ("Two", 2)}
-    table = with_headers(loaded.filter("sheet = 'One'").drop("path", "sheet_id", "address"))
+    table = with_headers(loaded.filter("sheet = 'One'").drop("path", "sheet_id", "address", "formula", "background_color"))
     assert {r["header"]: r["hypothesis"] for r in infer(table).collect()} == {"Name": "str_literal", "Count": "num_int", "Flag": "bool", "When": "str_date"}
 
 
+def test_formulas_and_fills(spark, tmp_path):
+    import io
+    import zipfile
+
+    data = xlsx.workbook_bytes({"One": [[1.5, "x"]]})
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w") as new:
+        for n in old.namelist():
+            new.writestr(n, old.read(n).replace(b'<c r="A1"><v>', b'<c r="A1" s="1"><f>SUM(B1:B2)</f><v>'))
+        new.writestr("xl/styles.xml", '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fills><fill><patternFill/></fill><fill><patternFill><fgColor rgb="FFFFCC00"/></patternFill></fill></fills><cellXfs><xf numFmtId="0" fillId="0"/><xf numFmtId="14" fillId="1"/></cellXfs></styleSheet>')
+    (tmp_path / "a.xlsx").write_bytes(out.getvalue())
+    got = {r["address"]: (r["value_numeric"], r["formula"], r["background_color"], r["data_format"]) for r in xlsx.read_xlsx(spark, str(tmp_path)).collect()}
+    assert got == {"A1": (1.5, "SUM(B1:B2)", "#ffcc00", "mm/dd/yyyy;@"), "B1": (None, None, None, None)}
+
+
 def test_turtle_round_trip(spark, tmp_path):
     ttl = '@prefix ex: <http://example.org/> .\nex:a a ex:T ; ex:p "x \\"q\\"\\n"@en , 5 , 1.5 ; ex:q [ ex:r true ] .\n# end\n<http://x/y> ex:p """long "one" """ .\n'
     with gzip.open(tmp_path / "a.ttl.gz", "wt") as f:
