@@ -583,13 +583,15 @@ def evaluation_rows(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation_table(totals.withColumn("f-score", F.round("f_score", 9)))
 
 
-@query("""SELECT sheet, tp, fp, fn, tp / (tp + fn)::DOUBLE AS accuracy, tp / (tp + fp)::DOUBLE AS "precision", tp / (tp + fn)::DOUBLE AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 9) AS f_score FROM (SELECT 'nation' AS sheet, 3 * count(*) AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn FROM nation)""")
+@query("""SELECT sheet, tp, fp, fn, tp / (tp + fn)::DOUBLE AS accuracy, tp / (tp + fp)::DOUBLE AS "precision", tp / (tp + fn)::DOUBLE AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 9) AS f_score FROM (SELECT 'nation' AS sheet, 3 * count(*) - 2 * count(*) FILTER (changed) AS tp, 2 * count(*) FILTER (changed) AS fp, 2 * count(*) FILTER (changed) AS fn FROM (SELECT n_nationkey % 3 = 0 AND lower(n_name) <> n_name AS changed FROM nation))""")
 def compared_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Produced triples under other names agree with the expected ones in full."""
+    """Produced triples under other names, a third of the nations' names spelt otherwise, against the expected ones. Statements are aligned from the last one, so a name that differs leaves its cell without a mapping."""
     table, winners = _geo(spark, sf)
     own = table.filter("sheet = 'nation'")
     triples = G.type_triples(own).unionByName(G.value_triples(own, winners)).filter("sheet = 'nation'")
-    return evaluated(G.renamed(triples, "x"), triples).withColumn("f_score", F.round("f_score", 9))
+    changed = F.col("p").endswith("-n_name") & (F.col("row") % 3 == 0)
+    made = triples.withColumn("o", F.when(changed, F.lower("o")).otherwise(F.col("o")))
+    return evaluated(G.renamed(made, "x"), triples).withColumn("f_score", F.round("f_score", 9))
 
 
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] AS first, CASE WHEN regexp_matches(p_brand, '[0-4]$') THEN 'low' ELSE 'high' END AS half FROM part")
