@@ -180,31 +180,57 @@ class Parser:
             state[:, :m] = at.reshape(k, m)
         column = np.empty(n, np.int64)
         column[order] = np.arange(n)
-        count = begins.sum(0)
+        after = np.full(n, -1, np.int64)  # by column: the column of the text's next block
+        for b in range(1, n):
+            if owner[b] == owner[b - 1]:
+                after[column[b - 1]] = column[b]
+        count = self._joined(grid, sizes, begins, state, after)
         out = np.zeros((k, len(texts)), np.int64)
-        for b in range(n):
-            if b and owner[b] == owner[b - 1]:
-                self._joined(blocks[b], begins[:, :, column[b]], count[:, column[b]], state[:, column[b - 1]], state[:, column[b]])
-            out[:, owner[b]] += count[:, column[b]]
+        np.add.at(out, (slice(None), np.array(owner, np.int64)[order]), count)
         return out
 
-    def _joined(self, codes: np.ndarray, begins: np.ndarray, count: np.ndarray, entry: np.ndarray, end: np.ndarray) -> None:
-        """Corrects a block's counts and end states for the states in which its text enters it."""
-        left = np.flatnonzero(entry != self.roots)
-        now, counted, t = entry[left], np.zeros(len(left), np.int64), 0
-        while len(left) and t < len(codes):
-            c = np.full(len(left), codes[t], np.int64)
-            at = self.edges.step(now, c).astype(np.int64)
-            begun = (at < 0) | (now == self.roots[left])
-            agreed = begun & begins[t, left]
-            for j in np.flatnonzero(agreed):
-                count[left[j]] = counted[j] + begins[t : len(codes), left[j]].sum()
-            lost = at < 0
-            if lost.any():
-                again = self.edges.step(self.roots[left], c)
-                at = np.where(lost, np.where(again < 0, self.roots[left], again), at)
-            left, now, counted, t = left[~agreed], at[~agreed], (counted + begun)[~agreed], t + 1
-        count[left], end[left] = counted, now
+    def _joined(self, grid: np.ndarray, sizes: np.ndarray, begins: np.ndarray, state: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases of each block, (language, column), given the states in which its text really enters it.
+
+        All blocks are followed together from the ends of those before. Where one never agrees with its own phrases, as in
+        a match longer than a block, its end changes, and the block after it is followed again.
+        """
+        whole, ends = begins.sum(0), state.copy()
+        count = whole.copy()
+        before = np.flatnonzero(after >= 0)
+        lang, prev = (x.ravel() for x in np.meshgrid(np.arange(len(self.langs)), before, indexing="ij"))
+        while len(lang):
+            own = after[prev]
+            now, total, end = ends[lang, prev].astype(np.int64), whole[lang, own].astype(np.int64), state[lang, own].astype(np.int64)
+            left = np.flatnonzero(now != self.roots[lang])
+            counted = np.zeros(len(lang), np.int64)  # phrases that begin, less those of the block's own parse
+            t = 0
+            while len(left):
+                over = sizes[own[left]] <= t
+                if over.any():
+                    gone = left[over]
+                    total[gone], end[gone] = counted[gone] + whole[lang[gone], own[gone]], now[gone]
+                    left = left[~over]
+                    if not len(left):
+                        break
+                c, root, alone = grid[t, own[left]], self.roots[lang[left]], begins[t, lang[left], own[left]]
+                at = self.edges.step(now[left], c).astype(np.int64)
+                lost = at < 0
+                begun = lost | (now[left] == root)
+                agreed = begun & alone
+                total[left[agreed]] = counted[left[agreed]] + whole[lang[left[agreed]], own[left[agreed]]]
+                counted[left] += begun.astype(np.int64) - alone
+                if lost.any():
+                    miss = np.flatnonzero(lost)
+                    again = self.edges.step(root[miss], c[miss])
+                    at[miss] = np.where(again < 0, root[miss], again)
+                now[left] = at
+                left = left[~agreed]
+                t += 1
+            moved = end != ends[lang, own]
+            count[lang, own], ends[lang, own] = total, end
+            lang, prev = lang[moved & (after[own] >= 0)], own[moved & (after[own] >= 0)]
+        return count
 
     def costs(self, texts: list[str | None]) -> np.ndarray:
         """(text, language): phrases times the logarithm of the sample's length; infinite for texts without a letter."""
