@@ -130,14 +130,13 @@ def hashes(text: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(hash, tpl, label, at, size): the positions of all rolling hashes of the templates, of which there are MAX_TEMPLATE_WORDS at most."""
+    """(hash, tpl, label, at, size): the positions of all rolling hashes of the templates, broadcast up to MAX_TEMPLATE_WORDS of them."""
     rows = []
     for i, (label, text) in enumerate(templates):
         words = words_of(text.encode())
         rows += [(h, i, label, at, len(words)) for at, h in enumerate(rolling(words).tolist())]
-    if len(rows) > MAX_TEMPLATE_WORDS:
-        raise ValueError("too many template words to broadcast")
-    return spark.createDataFrame(rows, "hash bigint, tpl int, label string, at int, size int")
+    out = spark.createDataFrame(rows, "hash bigint, tpl int, label string, at int, size int")
+    return F.broadcast(out) if len(rows) <= MAX_TEMPLATE_WORDS else out
 
 
 def verified(text: Column, found: Column, templates, lack: int) -> Column:
@@ -165,7 +164,7 @@ def verified(text: Column, found: Column, templates, lack: int) -> Column:
 def voted(docs: DataFrame, templates=TEMPLATES, lack: int = LACK_ONE_IN) -> DataFrame:
     """(t, tpl, diagonal) where the hits of a text, of hash t, on a diagonal and those next to it are enough for a span."""
     grams = docs.select(F.xxhash64("text").alias("t"), F.posexplode(hashes(F.col("text"))).alias("pos", "hash"))
-    hits = grams.join(F.broadcast(template_table(docs.sparkSession, templates)), "hash").select("t", "tpl", "size", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
+    hits = grams.join(template_table(docs.sparkSession, templates), "hash").select("t", "tpl", "size", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     by = ["t", "tpl", "size"]
     # A diagonal's hits are bounded by the template's length, and so are the diagonals that are merged.
     each = hits.groupBy(*by, "diagonal").agg(F.collect_set("at").alias("ats"))
