@@ -169,7 +169,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", host.alias("host"), "html")
-    return written(rows.mapInArrow(parse, f"rid bigint, page_id {kind}, url string, host string, blocks array<string>, zone int, stream bigint"), "parsed")
+    return written(rows.mapInArrow(parse, f"rid bigint, page_id {kind}, url string, host string, blocks array<string>, zone int, stream bigint"), "parsed", "zstd")
 
 
 def _sum_by_host(rows: DataFrame, own) -> DataFrame:
