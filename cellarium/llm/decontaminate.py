@@ -2,11 +2,10 @@
 
 Passages are the texts cut every WINDOW words. A first pass over the whole corpus counts words, in SLOTS
 hashed slots, for their inverse frequencies. TF-IDF passages have hashed features: each word stands for
-SIGNS signed places among FEATURES. A randomised SVD with power iterations, each a distributed sum over
-passages, gives the latent space. It is fitted on about SAMPLE passages of documents chosen by a seeded
-hash (all of them in smaller corpora) and on nothing else: items take no part in it. The words with a place in it are the
-VOCABULARY most frequent of those passages, of MIN_COUNT occurrences or more, and the items' own; others
-say nothing of what a text is about. Items are cut into pieces of WINDOW words at most, and projected. The last pass slides windows over every whole text,
+SIGNS signed places among FEATURES. The products of all passages' features, one distributed sum over the whole
+corpus, give the latent space by a randomised SVD with power iterations: every passage counts, and items take
+no part in it. The words with a place in it are the VOCABULARY most frequent of the whole corpus, of MIN_COUNT
+occurrences or more, and the items' own; others say nothing of what a text is about. Items are cut into pieces of WINDOW words at most, and projected. The last pass slides windows over every whole text,
 projects them, and takes windows close to a piece in cosine as candidates for its item. Candidates are checked in place:
 the answer, the item's rarest words that are not common to many items, of which half must be there, then the longest common subsequence
 with the item's words. Beside it all items are searched as exact word sequences, since the latent
@@ -38,8 +37,8 @@ OVERSAMPLE = 10
 POWER_ITERATIONS = 2
 FEATURES, SIGNS = 1024, 4
 SLOTS = 1 << 16
-#: Passages that the latent space is fitted on, about.
-SAMPLE = 100_000
+#: Passages whose products are summed in a task, at least about: a sum takes 2 MB, these 5 MB of text.
+PASSAGES_A_SUM = 25_000
 WINDOW, STRIDE = 32, 16  # two strides a window
 COSINE = 0.36
 LCS_SHARE = 0.7
@@ -48,10 +47,10 @@ ANSWER_WORDS, ANSWER_SHARE = 6, 0.5
 SHARED, SHARED_PART = 3, 0.04
 MIN_ITEM_WORDS = 8
 BLOCK_ITEMS = 20_000
-FEATURES_A_BLOCK = 64
+ROWS_A_BLOCK = 4
 VOCABULARY, MIN_COUNT = 100_000, 4
-#: Bytes of text that are taken apart at once, and strides whose vectors are held at once.
-SLICE, ROUND = 1 << 20, 1024
+#: Bytes of text that are taken apart and words that are counted at once, and strides and passages whose vectors are held at once.
+SLICE, ROUND, PASSAGES = 1 << 20, 1024, 8192
 SEED = 7
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
@@ -210,43 +209,61 @@ class Sequences:
 
 
 def _partial(total: np.ndarray) -> pa.RecordBatch:
-    """Rows of a matrix as (block, feature, v)."""
-    feature = np.arange(len(total))
-    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * total.shape[1], pa.int32()), pa.array(total.astype(np.float64).ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(feature // FEATURES_A_BLOCK, pa.int64()), pa.array(feature, pa.int64()), flat], names=["block", "feature", "v"])
+    """Rows of a matrix as (block, row, v)."""
+    row = np.arange(len(total))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * total.shape[1], pa.int32()), pa.array(total.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(row // ROWS_A_BLOCK, pa.int64()), pa.array(row, pa.int64()), flat], names=["block", "row", "v"])
 
 
 def _added(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """The sum of the matrices that tasks emitted by _partial()."""
 
     def summed(rows: pa.Table) -> pa.Table:
-        feature = rows.column("feature").to_numpy()
-        order = np.argsort(feature, kind="stable")
-        own, start = np.unique(feature[order], return_index=True)
-        v = np.concatenate([c.flatten().to_numpy() for c in rows.column("v").chunks]).reshape(len(feature), -1)
-        v = np.add.reduceat(v[order], start, axis=0)
+        row = rows.column("row").to_numpy()
+        order = np.argsort(row, kind="stable")
+        own, start = np.unique(row[order], return_index=True)
+        v = np.concatenate([c.flatten().to_numpy() for c in rows.column("v").chunks]).reshape(len(row), -1)
+        v = np.add.reduceat(v[order], start, axis=0, dtype=np.float64)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
-        return pa.table({"feature": pa.array(own, pa.int64()), "v": flat})
+        return pa.table({"row": pa.array(own, pa.int64()), "v": flat})
 
     out = np.zeros(shape)
-    for r in parts.groupBy("block").applyInArrow(summed, "feature bigint, v array<double>").collect():
-        out[r["feature"]] = r["v"]
+    for r in parts.groupBy("block").applyInArrow(summed, "row bigint, v array<double>").collect():
+        out[r["row"]] = r["v"]
     return out
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Occurrences by slot, and passages, of the whole column text."""
-    width = 256
+def counted(docs: DataFrame) -> DataFrame:
+    """(h, n), written: the occurrences of each word hash in the whole column text, and under null the number of passages."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS + width, np.int64)
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, passages = [], 0, 0
         for batch in batches:
             for run in runs(batch.column(0).cast(pa.binary())):
-                total[:SLOTS] += np.bincount((run.hash % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-                total[SLOTS] += int((-(-run.count // WINDOW)).sum())
-        yield _partial(total.reshape(-1, width))
-
-    total = _added(docs.select("text").mapInArrow(counted, "block bigint, feature bigint, v array<double>"), (SLOTS // width + 1, width)).ravel()
+                held.append(run.hash.view(np.int64))
+                size += len(run.hash)
+                passages += int((-(-run.count // WINDOW)).sum())
+                if size >= SLICE:
+                    yield from emitted(held)
+                    held, size = [], 0
+        yield from emitted(held)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([passages], pa.int64())], names=["h", "n"])
+
+    def emitted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
+    return written(docs.select("text").mapInArrow(counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
+
+
+def frequencies(docs: DataFrame, counts: DataFrame | None = None) -> tuple[np.ndarray, int]:
+    """Occurrences by slot, and passages, of the whole column text; counts is counted(docs), where that is at hand."""
+    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
+    rows = (counted(docs) if counts is None else counts).groupBy(slot).agg(F.sum("n").alias("n")).toArrow()
+    at, n = rows.column("slot").fill_null(SLOTS).to_numpy(), rows.column("n").to_numpy()
+    total = np.zeros(SLOTS + 1, np.int64)
+    total[at] = n
     return total[:SLOTS], int(total[SLOTS])
 
 
@@ -255,54 +272,79 @@ def weights(n: np.ndarray, passages: int) -> np.ndarray:
     return np.log1p(passages / (1.0 + n)).astype(np.float32)
 
 
-def _gram_times(sample: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """T'T q of the TF-IDF passages T (of length 1) of the texts in sample."""
-    sent = sample.sparkSession.sparkContext.broadcast((idf, q.astype(np.float32)))
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, q = sent.value
-        total = np.zeros(q.shape, np.float32)
-        for batch in batches:
-            for run in runs(batch.column(0).cast(pa.binary())):
-                passages = -(-run.count // WINDOW)
-                own = (np.cumsum(passages) - passages)[run.text] + run.number // WINDOW
-                at, sign = places(run.hash)
-                x = np.zeros((int(passages.sum()), FEATURES), np.float32)
-                np.add.at(x, (np.repeat(own, SIGNS), at.ravel()), (sign * idf[run.hash % np.uint64(SLOTS)][:, None]).ravel())
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                total += x.T @ (x @ q)
-        yield _partial(total)
-
-    return _added(sample.mapInArrow(product, "block bigint, feature bigint, v array<double>"), q.shape)
-
-
-def drawn(docs: DataFrame, passages: int, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """The texts that the latent space is fitted on, written: those whose seeded hash is low enough for about `sample` of all passages."""
-    share = min(1.0, sample / max(passages, 1))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low = docs.select("text").filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return written(low.repartition(min(parts, 64)), "passages")
+def gram(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """T'T of the TF-IDF passages T (of length 1) of all texts."""
+    sent = texts.sparkSession.sparkContext.broadcast(idf)
+    upper = np.triu_indices(FEATURES)
+    shape = (FEATURES // 2, FEATURES + 1)  # of as many numbers
 
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = sent.value
+        total, x, used = np.zeros((FEATURES, FEATURES)), np.zeros((PASSAGES, FEATURES), np.float32), 0
 
-def vocabulary(sample: DataFrame, most: int = VOCABULARY, least: int = MIN_COUNT) -> np.ndarray:
-    """Hashes of the most frequent words of the texts in sample."""
+        def add() -> None:
+            own = x[:used]
+            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+            np.add(total, own.T @ own, out=total)
+            own[:] = 0
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch.column(0).cast(pa.binary())):
-                h, n = np.unique(run.hash.view(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
-
-    often = sample.mapInArrow(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return np.array([r["h"] for r in often.orderBy(F.col("n").desc(), "h").limit(most).collect()], np.int64).view(np.uint64)
-
-
-def latent_basis(sample: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = SEED) -> np.ndarray:
-    """(FEATURES, rank at most): the first right singular vectors of the passages of sample, each over its singular value, by a randomised SVD."""
+                passages = -(-run.count // WINDOW)
+                own, first, end = (np.cumsum(passages) - passages)[run.text] + run.number // WINDOW, 0, int(passages.sum())
+                while first < end:
+                    size = min(end - first, PASSAGES - used)
+                    part = slice(*np.searchsorted(own, (first, first + size)))
+                    at, sign = places(run.hash[part])
+                    row = own[part] - first + used
+                    np.add.at(x.reshape(-1), (row[:, None] * FEATURES + at).ravel(), (sign * idf[run.hash[part] % np.uint64(SLOTS)][:, None]).ravel())
+                    first, used = first + size, used + size
+                    if used == PASSAGES:
+                        add()
+                        used = 0
+        add()
+        yield _partial(total[upper].astype(np.float32).reshape(shape))
+
+    out = np.zeros((FEATURES, FEATURES))
+    out[upper] = _added(texts.mapInArrow(products, "block bigint, row bigint, v array<float>"), shape).ravel()
+    return out + np.triu(out, 1).T
+
+
+def drawn(docs: DataFrame, passages: int, least: int = PASSAGES_A_SUM) -> DataFrame:
+    """The texts that the latent space is fitted on: all of docs, in tasks of about `least` of the passages or more."""
+    return docs.select("text").coalesce(max(1, passages // least))
+
+
+def _taken(groups: DataFrame, most: int) -> tuple[int | None, int]:
+    """The last of the groups (key, in their order, and size) of which those up to it reach `most` rows, and the rows before it; null where all are fewer."""
+    total = 0
+    for r in groups.collect():
+        if total + r["size"] >= most:
+            return r["key"], total
+        total += r["size"]
+    return None, total
+
+
+def vocabulary(counts: DataFrame, most: int = VOCABULARY, least: int = MIN_COUNT) -> np.ndarray:
+    """Hashes of the most frequent words of counted(), of equals those with the least hashes. No more than these and a small part of the equals at the cut leave the executors."""
+    often = counts.filter(F.col("h").isNotNull() & (F.col("n") >= least))
+    cut, more = _taken(often.groupBy(F.col("n").alias("key")).agg(F.count("*").alias("size")).orderBy(F.desc("key")), most)
+    if cut is not None:
+        part = F.shiftright("h", 48)
+        last, _ = _taken(often.filter(F.col("n") == cut).groupBy(part.alias("key")).agg(F.count("*").alias("size")).orderBy("key"), most - more)
+        often = often.filter((F.col("n") > cut) | (F.col("n") == cut) & (part <= last))
+    rows = often.toArrow()
+    h, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
+    return h[np.lexsort((h, -n))][:most].view(np.uint64)
+
+
+def latent_basis(texts: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = SEED) -> np.ndarray:
+    """(FEATURES, rank at most): the first right singular vectors of the passages of all texts, each over its singular value, by a randomised SVD."""
+    g = gram(texts, idf)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, min(rank + OVERSAMPLE, FEATURES))))[0]
     for _ in range(POWER_ITERATIONS):
-        q = np.linalg.qr(_gram_times(sample, idf, q))[0]
-    values, vectors = np.linalg.eigh((s := q.T @ _gram_times(sample, idf, q)) + s.T)
+        q = np.linalg.qr(g @ q)[0]
+    values, vectors = np.linalg.eigh((s := q.T @ g @ q) + s.T)
     best = np.argsort(-values)[:rank]
     best = best[values[best] > 1e-5 * max(values.max(), 1e-30)]
     return (q @ vectors[:, best]) / np.sqrt(values[best] / values[best].mean()) if len(best) else np.zeros((FEATURES, 0))
@@ -419,10 +461,10 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block: int = BL
     blocks = -(-rows.count() // block)
     if not blocks:
         return []
-    n, passages = frequencies(docs)
+    counts = counted(docs)
+    n, passages = frequencies(docs, counts)
     idf = weights(n, passages)
-    sample = drawn(docs, passages)
-    known, basis = vocabulary(sample), latent_basis(sample, idf, rank)
+    known, basis = vocabulary(counts), latent_basis(drawn(docs, passages), idf, rank)
     out = []
     for b in range(blocks):
         same: dict[tuple[bytes, ...], list] = {}

@@ -120,6 +120,57 @@ def test_randomised_svd_against_exact(spark):
     assert np.linalg.norm(exact[2][:6] @ q, axis=1).min() > 0.99
 
 
+def _spaces(monkeypatch, spark, tmp_path, run):
+    """The spaces that run(spark, docs, folder) fits over 140,000 texts, the same 3,500 times for each of 40 topics, and the hashes of their words."""
+    topics = [" ".join(f"t{t}w{i}" for i in range(8)) for t in range(40)]
+    spark.range(140_000).selectExpr("id doc_id", f"element_at(array({', '.join(map(repr, topics))}), cast(id % 40 as int) + 1) text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some words that none of the topics has at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made, init = [], decontaminate.Space.__init__
+    monkeypatch.setattr(decontaminate.Space, "__init__", lambda self, *args: made.append(self) or init(self, *args))
+    run(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    return made, decontaminate.hashed(" ".join(topics).encode())
+
+
+def test_op1_is_fitted_on_the_whole_corpus(monkeypatch, spark, tmp_path):
+    """However many passages there are, each topic has its singular vector, and its words their places."""
+    (space,), words = _spaces(monkeypatch, spark, tmp_path, lambda spark, docs, folder: registry.QUERIES["op1_latent_retrieval"](spark, folder))
+    assert space.basis.shape[1] == 40 and set(words.tolist()) <= set(space.known.tolist())
+
+
+def test_vocabulary_of_the_whole_corpus(spark):
+    """The most frequent words, of equals those with the least hashes, whether the cut falls among equals or not; counts are of all texts."""
+    texts = [" ".join(f"w{i}" for i in range(3000) if d < 2 + i % 7) for d in range(9)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    counts = decontaminate.counted(df)
+    often = collections.Counter(int(h) for t in texts for h in decontaminate.hashed((t or "").encode()).view(np.int64))
+    passages = sum(-(-len((t or "").split()) // decontaminate.WINDOW) for t in texts)
+    assert {r["h"]: r["n"] for r in counts.collect()} == {**often, None: passages}
+    order = sorted((h for h, n in often.items() if n >= decontaminate.MIN_COUNT), key=lambda h: (-often[h], h))
+    for most in (1, 428, 429, 1000, len(order), 100_000):
+        assert decontaminate.vocabulary(counts, most).view(np.int64).tolist() == order[:most]
+
+
+def test_products_of_passages(spark):
+    """The products that tasks and slices of a text add up are those of all passages, one text of many thousand passages included."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (0, 1, 32, 33, 500, decontaminate.WINDOW * (2 * decontaminate.PASSAGES + 1) + 5)] + [None]
+    idf = np.linspace(1, 2, decontaminate.SLOTS).astype(np.float32)
+    want = np.zeros((decontaminate.FEATURES,) * 2)
+    for t in texts:
+        w = (t or "").split()
+        for k in range(0, len(w), decontaminate.WINDOW):
+            x = np.zeros(decontaminate.FEATURES)
+            h = decontaminate._hashes([v.encode() for v in w[k : k + decontaminate.WINDOW]])
+            for at, sign, i in zip(*decontaminate.places(h), idf[h % np.uint64(decontaminate.SLOTS)], strict=True):
+                np.add.at(x, at, sign * i)
+            want += np.outer(x, x) / (x @ x)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert np.abs(decontaminate.gram(df.select("text"), idf) - want).max() < 1e-5 * want.max()
+
+
 def test_word_hashes():
     """Hashes by running sums over all bytes depend on the word alone, in slices of any size, and tell words apart."""
     import random
