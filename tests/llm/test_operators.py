@@ -137,6 +137,13 @@ def test_op1_is_fitted_on_the_whole_corpus(monkeypatch, spark, tmp_path):
     assert space.basis.shape[1] == 40 and set(words.tolist()) <= set(space.known.tolist())
 
 
+def test_decontamination_stage_is_fitted_on_the_whole_corpus(monkeypatch, spark, tmp_path):
+    """So is the pipeline's stage, on all texts that the stages before it kept."""
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    (space,), words = _spaces(monkeypatch, spark, tmp_path, lambda spark, docs, folder: stage(spark, docs, folder).count())
+    assert space.basis.shape[1] == 40 and set(words.tolist()) <= set(space.known.tolist())
+
+
 def test_vocabulary_of_the_whole_corpus(spark):
     """The most frequent words, of equals those with the least hashes, whether the cut falls among equals or not; counts are of all texts."""
     texts = [" ".join(f"w{i}" for i in range(3000) if d < 2 + i % 7) for d in range(9)] + [None, ""]
