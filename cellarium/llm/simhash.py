@@ -41,6 +41,8 @@ SHINGLE = 3
 DISTANCE = 3
 SEED = 42
 CHUNK = 4096
+#: Anchors that are counted at once.
+TALLY = 1 << 18
 #: Search by two-word shingles in 64-bit lanes of two parts each; comparison by the first lanes of five-word shingles, then by all.
 SEARCH_SHINGLE, SEARCH_LANES = 2, 6
 CHECK_SHINGLE, CHECK_LANES, COMPARED_LANES = 5, 10, 2
@@ -274,10 +276,31 @@ def _linker(lanes: list[str], distance: int, at_home: bool):
     return links_of
 
 
+def tallied(rows: DataFrame) -> DataFrame:
+    """(anchor, n): the rows of each anchor. Most anchors of a task have one row there, so a hash table before the shuffle would hold nearly all of them: every TALLY rows are counted by themselves instead."""
+
+    def tally(held: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
+
+    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy())
+            size += batch.num_rows
+            if size >= TALLY:
+                yield tally(held)
+                held, size = [], 0
+        if size:
+            yield tally(held)
+
+    return rows.select("anchor").mapInArrow(tallies, "anchor bigint, n bigint").repartition("anchor").groupBy("anchor").agg(F.sum("n").alias("n"))
+
+
 def links(rows: DataFrame, lanes: list[str], distance: int, at_home: bool, chunk: int = CHUNK) -> DataFrame:
     """(src, dst) edges that join the first lane into components, from rows of anchored()."""
-    met = F.max("home") if at_home else F.lit(True)
-    busy = written(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), met.alias("met")).filter("n > 1 and met").select("anchor", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "anchors")
+    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("met")).filter("met") if at_home else tallied(rows)
+    busy = written(counts.filter("n > 1").select("anchor", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "anchors")
     own = F.pmod(F.xxhash64(lanes[0]), F.col("parts")).cast("int")
     part = F.when(F.col("parts") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.least(j, own) * F.col("parts") + F.greatest(j, own)).cast("bigint")))
     dealt = rows.join(busy, "anchor").select(F.col("anchor").alias("key"), F.explode(part).alias("part"), *lanes, *(["home"] if at_home else []))

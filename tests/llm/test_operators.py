@@ -622,6 +622,24 @@ def test_similar_texts_link(spark):
         assert len({find(x) for x in root}) == len(set(got.values()))
 
 
+def test_anchors_are_counted_without_a_hash_table_before_the_shuffle(monkeypatch, spark):
+    """The anchors that similar_links looks for are counted in stretches, then over all; a table of all the anchors of a task took more memory than an executor has."""
+    rng = np.random.default_rng(2)
+    lanes = [[int(x) for x in rng.integers(-(1 << 62), 1 << 62, simhash.CHECK_LANES + simhash.SEARCH_LANES + simhash.MIN_BANDS)] for _ in range(40)]
+    lanes += [[*x[:1], x[1] ^ 1, *x[2:]] for x in lanes[:15]]
+    lanes = [[i, *x[1:]] for i, x in enumerate(lanes)]
+    each = spark.createDataFrame([(x[0], x[: simhash.CHECK_LANES], x[simhash.CHECK_LANES :]) for x in lanes], "fp bigint, check array<bigint>, search array<bigint>")
+    made, put = {}, simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name, *a: made.setdefault(name, (df, put(df, name, *a)))[1])
+    monkeypatch.setattr(simhash, "TALLY", 1000, raising=False)
+    assert simhash.similar_links(each).count() == 15
+    counts = collections.Counter(r["anchor"] for r in made["anchored"][1].collect())
+    assert {r["anchor"]: r["parts"] for r in made["anchors"][1].collect()} == {a: 1 for a, n in counts.items() if n > 1}
+    plan = made["anchors"][0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Aggregate" not in plan.rsplit("Exchange", 1)[1]
+    assert {r["anchor"]: r["n"] for r in simhash.tallied(made["anchored"][1].coalesce(1)).collect()} == counts
+
+
 def test_template_texts_stay(spark):
     """Texts of one template, none 0.8 alike, are not chained into one class; pairs of 0.8 or more among them are joined."""
     import random
