@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +48,20 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.lru_cache(1)
+def held(make: Callable, *args):
+    """make(*args), which a Python worker keeps for its next tasks of the same kind, until begun()."""
+    return make(*args)
+
+
+def begun() -> None:
+    """To be called first by tasks that need nothing held(): a worker goes from stage to stage, with all that earlier tasks held and freed, until this gives it back."""
+    held.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores put before those that df has as columns (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import table, written
+from cellarium.llm.common import begun, table, written
 
 RANK = 128
 OVERSAMPLE = 10
@@ -50,7 +50,7 @@ BLOCK_ITEMS = 20_000
 ROWS_A_BLOCK = 4
 VOCABULARY, MIN_COUNT = 100_000, 4
 #: Bytes of text that are taken apart and words that are counted at once, and strides and passages whose vectors are held at once.
-SLICE, ROUND, PASSAGES = 1 << 20, 1024, 8192
+SLICE, ROUND, PASSAGES = 1 << 20, 1024, 2048
 SEED = 7
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
@@ -237,6 +237,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """(h, n), written: the occurrences of each word hash in the whole column text, and under null the number of passages."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
         held, size, passages = [], 0, 0
         for batch in batches:
             for run in runs(batch.column(0).cast(pa.binary())):
@@ -275,10 +276,11 @@ def weights(n: np.ndarray, passages: int) -> np.ndarray:
 def gram(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
     """T'T of the TF-IDF passages T (of length 1) of all texts."""
     sent = texts.sparkSession.sparkContext.broadcast(idf)
-    upper = np.triu_indices(FEATURES)
+    upper = ~np.tri(FEATURES, k=-1, dtype=bool)
     shape = (FEATURES // 2, FEATURES + 1)  # of as many numbers
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
         idf = sent.value
         total, x, used = np.zeros((FEATURES, FEATURES)), np.zeros((PASSAGES, FEATURES), np.float32), 0
 
@@ -303,7 +305,7 @@ def gram(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
                         add()
                         used = 0
         add()
-        yield _partial(total[upper].astype(np.float32).reshape(shape))
+        yield _partial(total.astype(np.float32)[upper].reshape(shape))
 
     out = np.zeros((FEATURES, FEATURES))
     out[upper] = _added(texts.mapInArrow(products, "block bigint, row bigint, v array<float>"), shape).ravel()
@@ -385,7 +387,10 @@ class Space:
 
     def _ready(self) -> None:
         self.find = Lookup(self.known)
-        self.table = np.vstack([self.vectors(self.known), np.zeros((1, self.basis.shape[1]), np.float32)])
+        self.table = np.zeros((len(self.known) + 1, self.basis.shape[1]), np.float32)
+        rows = self.table[:-1]
+        for at in range(0, len(rows), ROUND):
+            rows[at : at + ROUND] = self.vectors(self.known[at : at + ROUND])
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("find", "table")}
@@ -487,6 +492,7 @@ def hits_of(spark: SparkSession, space: Space, text: Column) -> Column:
 
     @F.arrow_udf(HITS)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begun()
         for texts in batches:
             yield pa.array(sent.value.search(texts.cast(pa.binary())), kind)
 

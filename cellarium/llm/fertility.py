@@ -13,7 +13,6 @@ Input columns other than the ones named are neither read nor changed.
 from __future__ import annotations
 
 import base64
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import table, written
+from cellarium.llm.common import held, table, written
 
 TOKENIZERS = "/opt/tokenizers"
 SYMBOLS = b"#*$%&|<>"
@@ -167,11 +166,6 @@ def measures(raw: bytes | None, v: Vocabularies) -> tuple:
     return len(words), chars, symbols, duplicates, repeated_words(ids), n, plain / max(n, 1), plain / max(other, 1), fallback / max(n, 1), entropy, script_of(raw.decode("utf-8", "replace"))
 
 
-@functools.lru_cache(1)
-def _loaded(piece_model: bytes, byte_ranks: bytes, pattern: str) -> Vocabularies:
-    return Vocabularies(piece_model, byte_ranks, pattern)
-
-
 def measure_udf(spark: SparkSession, tokenizers: str = TOKENIZERS):
     """An Arrow function from a text to its measures. The two vocabulary files (1.4 MB) are broadcast."""
     import importlib.util
@@ -183,7 +177,7 @@ def measure_udf(spark: SparkSession, tokenizers: str = TOKENIZERS):
 
     @F.arrow_udf(f"struct<{FIELDS.replace(' ', ':').replace(',:', ',')}>")
     def fertility(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = _loaded(*files.value)
+        v = held(Vocabularies, *files.value)
         for texts in batches:
             rows = [measures(t.as_py(), v) for t in texts.cast(pa.binary())]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _NAMES]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import fresh, hex64, table, written
+from cellarium.llm.common import begun, fresh, hex64, table, written
 from cellarium.llm.components import components
 
 SHINGLE = 3
@@ -141,6 +141,7 @@ def sketch_of(text: Column) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def lanes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begun()
         for texts in batches:
             yield pa.array([sketch(t.as_py()) for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
 
@@ -160,6 +161,7 @@ def shingle_set_of(text: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begun()
         for texts in batches:
             yield pa.array([shingle_set(t.as_py()) for t in texts.cast(pa.binary())], pa.list_(pa.int32()))
 
@@ -261,6 +263,7 @@ def _linker(lanes: list[str], distance: int, at_home: bool):
         return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["src", "dst"])
 
     def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
         rest = [np.zeros(0, np.int64)] * len(names)
         for batch in batches:
             if batch.num_rows:
@@ -284,6 +287,7 @@ def tallied(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
 
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
         held, size = [], 0
         for batch in batches:
             held.append(batch.column(0).to_numpy())

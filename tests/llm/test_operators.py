@@ -144,6 +144,80 @@ def test_decontamination_stage_is_fitted_on_the_whole_corpus(monkeypatch, spark,
     assert space.basis.shape[1] == 40 and set(words.tolist()) <= set(space.known.tolist())
 
 
+def _peak(f):
+    """The bytes that f() holds at most beyond those before it, and its result."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        out = f()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_table_of_words_takes_no_copies():
+    """A worker that gets a space makes the vectors of its words in place, not as several arrays of all of them."""
+    rng = np.random.default_rng(8)
+    words = np.unique(rng.integers(0, 1 << 63, 50_000).astype(np.uint64))
+    space = decontaminate.Space([[1]], [[b"w%d" % i for i in range(12)]], np.ones(decontaminate.SLOTS, np.float32), rng.standard_normal((decontaminate.FEATURES, 128)), words)
+    state = space.__getstate__()
+    peak, again = _peak(lambda: (s := object.__new__(decontaminate.Space)).__setstate__(state) or s)
+    assert (again.table == np.vstack([space.vectors(space.known), np.zeros((1, 128), np.float32)])).all()
+    assert peak < 1.5 * again.table.nbytes
+
+
+class _Texts:
+    """Texts for which mapInArrow runs the function here, and keeps what the task gave and held at most."""
+
+    def __init__(self, spark, texts):
+        self.sparkSession, self.texts = spark, texts
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, *_):  # noqa: N802
+        import pyarrow as pa
+
+        batches = [pa.RecordBatch.from_arrays([pa.array(self.texts)], names=["text"])]
+        self.peak, self.out = _peak(lambda: list(f(iter(batches))))
+        return self
+
+    def groupBy(self, *_):  # noqa: N802
+        return self
+
+    agg = groupBy
+
+
+def test_products_of_a_task_are_small(monkeypatch, spark):
+    """The sum of a task's products and the passages it has at hand take a few MB, not the 60 MB and more of 8,192 passages and two index arrays."""
+    texts = _Texts(spark, [" ".join(f"w{i * j % 977}" for j in range(320)) for i in range(100)])
+    monkeypatch.setattr(decontaminate, "_added", lambda parts, shape: np.concatenate([np.stack(b.column("v").to_numpy(zero_copy_only=False)) for b in parts.out]))
+    decontaminate.gram(texts, np.ones(decontaminate.SLOTS, np.float32))
+    assert texts.peak < 40 << 20
+
+
+def test_tasks_drop_what_other_tasks_left_in_their_worker(monkeypatch, spark):
+    """The vocabularies of the quality rules do not stay in the workers that the next stages take over."""
+    import weakref
+
+    import pyarrow as pa
+
+    made, init = [], fertility.Vocabularies.__init__
+    monkeypatch.setattr(fertility.Vocabularies, "__init__", lambda self, *args: made.append(weakref.ref(self)) or init(self, *args))
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: df)
+    monkeypatch.setattr(decontaminate, "_added", lambda parts, shape: np.zeros(shape))
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: f)
+    measure = fertility.measure_udf(spark)
+    texts = _Texts(spark, ["some words of a text", None])
+    tasks = [lambda: decontaminate.counted(texts), lambda: decontaminate.gram(texts, np.ones(decontaminate.SLOTS, np.float32))]
+    for task in tasks:
+        assert all(len(list(measure(iter([pa.array(texts.texts)])))) == 1 for _ in range(2)) and made[-1]() is not None
+        task()
+        assert made[-1]() is None
+    assert len(made) == len(tasks)
+
+
 def test_vocabulary_of_the_whole_corpus(spark):
     """The most frequent words, of equals those with the least hashes, whether the cut falls among equals or not; counts are of all texts."""
     texts = [" ".join(f"w{i}" for i in range(3000) if d < 2 + i % 7) for d in range(9)] + [None, ""]
