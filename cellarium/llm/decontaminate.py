@@ -51,6 +51,8 @@ ROWS_A_BLOCK = 4
 VOCABULARY, MIN_COUNT = 100_000, 4
 #: Bytes of text that are taken apart and words that are counted at once, and strides and passages whose vectors are held at once.
 SLICE, ROUND, PASSAGES = 1 << 20, 1024, 2048
+#: Bytes that are hashed and passages whose words get their features at once, so that the arrays for it stay in the cache.
+STRETCH, FEW = 1 << 16, 256
 SEED = 7
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
@@ -74,27 +76,35 @@ def _powers(p: int, n: int) -> np.ndarray:
 
 
 _P = 0x9E3779B97F4A7C15
-_UP, _DOWN = _powers(_P, SLICE + 1), _powers(pow(_P, -1, 1 << 64), SLICE + 1)
-
-
-def hashed(line: bytes) -> np.ndarray:
-    """Hashes of the words between the spaces of a line: a polynomial of their bytes, mixed, found by running sums over all bytes at once."""
-    out, at = [np.zeros(0, np.uint64)], 0
-    while at < len(line):
-        end = min(at + SLICE, len(line))
-        if end < len(line):
-            cut = line.rfind(b" ", at, end)
-            end = cut + 1 if cut >= 0 else line.find(b" ", end) + 1 or len(line)
-        b = np.frombuffer(line, np.uint8, end - at, at)
-        up, down = (_UP, _DOWN) if len(b) <= SLICE else (_powers(_P, len(b)), _powers(pow(_P, -1, 1 << 64), len(b)))
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (b != 32).view(np.int8), [0]])))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * up[: len(b)], dtype=np.uint64)])
-        h = (sums[edge[1::2]] - sums[edge[::2]]) * down[edge[::2]]
+_UP, _DOWN = _powers(_P, STRETCH), _powers(pow(_P, -1, 1 << 64), STRETCH)
+
+
+def edges(line: bytes) -> np.ndarray:
+    """Where the words between the spaces of a line start and end, in turn."""
+    space = np.frombuffer(b" %b " % line, np.uint8) == 32
+    return np.flatnonzero(space[1:] != space[:-1])
+
+
+def hashed(line: bytes, edge: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the words between the spaces of a line: a polynomial of their bytes, mixed, found by running sums over the bytes of many words at once. edge is edges(line), where that is at hand."""
+    start, end = (edges(line) if edge is None else edge).reshape(-1, 2).T
+    raw, held, out, first = np.frombuffer(line, np.uint8), np.zeros(STRETCH + 1, np.uint64), np.empty(len(start), np.uint64), 0
+    while first < len(start):
+        at = int(start[first])
+        last = max(int(np.searchsorted(end, at + STRETCH, side="right")), first + 1)
+        b = raw[at : end[last - 1]]
+        up, down, sums = _UP, _DOWN, held[: len(b) + 1]
+        if len(b) > STRETCH:  # one word
+            up, down, sums = _powers(_P, len(b)), _DOWN, np.zeros(len(b) + 1, np.uint64)
+        np.multiply(b, up[: len(b)], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
+        own = start[first:last] - at
+        h = (sums[end[first:last] - at] - sums[own]) * down[own]
         for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ (h >> np.uint64(shift))) * np.uint64(m)
-        out.append(h ^ (h >> np.uint64(31)))
-        at = end
-    return np.concatenate(out)
+        out[first:last] = h ^ (h >> np.uint64(31))
+        first = last
+    return out
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -103,7 +113,8 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 def line_of(raw: bytes | None) -> bytes:
     """A text's words between spaces, as words_of() takes them."""
-    return (raw or b"").decode("utf-8", "replace").lower().encode().translate(_KEEP)
+    raw = raw or b""
+    return (raw if raw.isascii() else raw.decode("utf-8", "replace").lower().encode()).translate(_KEEP)
 
 
 class Run:
@@ -112,12 +123,12 @@ class Run:
     def __init__(self, rows: list[int], lines: list[bytes]):
         self.rows, self.lines = rows, lines
         flat = b" ".join(lines)
-        self.hash = hashed(flat)
-        starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
-        first = np.flatnonzero(np.diff((np.frombuffer(flat, np.uint8) != 32).view(np.int8), prepend=np.int8(0)) == 1)
-        self.text = np.searchsorted(starts, first, side="right") - 1
-        self.count = np.bincount(self.text, minlength=len(lines))
-        self.number = np.arange(len(self.hash)) - (np.cumsum(self.count) - self.count)[self.text]
+        edge = edges(flat)
+        self.hash = hashed(flat, edge)
+        before = np.searchsorted(edge[::2], np.cumsum([0, *(len(x) + 1 for x in lines)]))
+        self.count = np.diff(before)
+        self.text = np.repeat(np.arange(len(lines)), self.count)
+        self.number = np.arange(len(self.hash)) - np.repeat(before[:-1], self.count)
         self._words: dict[int, list[bytes]] = {}
 
     def words(self, text: int) -> list[bytes]:
@@ -165,12 +176,15 @@ class Lookup:
         return out
 
 
+_SIGN = np.array([-1, 1], np.float32)
+
+
 def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The SIGNS places of each word hash among FEATURES, and their signs."""
     bits = (FEATURES - 1).bit_length()
     shift = np.arange(SIGNS, dtype=np.uint64) * np.uint64(bits + 1) + np.uint64(16)
-    own = h[:, None] >> shift
-    return (own & np.uint64(FEATURES - 1)).astype(np.int64), np.where(own >> np.uint64(bits) & np.uint64(1), 1.0, -1.0).astype(np.float32)
+    own = (h[:, None] >> shift).view(np.int64)
+    return own & FEATURES - 1, _SIGN.take(own >> bits & 1)
 
 
 class Sequences:
@@ -283,11 +297,11 @@ def gram(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
         begun()
         idf = sent.value
         total, x, used = np.zeros((FEATURES, FEATURES)), np.zeros((PASSAGES, FEATURES), np.float32), 0
+        product = np.empty((FEATURES, FEATURES), np.float32)
 
         def add() -> None:
             own = x[:used]
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-            np.add(total, own.T @ own, out=total)
+            np.add(total, np.matmul(own.T, own, out=product), out=total)
             own[:] = 0
 
         for batch in batches:
@@ -295,11 +309,14 @@ def gram(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
                 passages = -(-run.count // WINDOW)
                 own, first, end = (np.cumsum(passages) - passages)[run.text] + run.number // WINDOW, 0, int(passages.sum())
                 while first < end:
-                    size = min(end - first, PASSAGES - used)
+                    size = min(end - first, PASSAGES - used, FEW)
                     part = slice(*np.searchsorted(own, (first, first + size)))
                     at, sign = places(run.hash[part])
-                    row = own[part] - first + used
-                    np.add.at(x.reshape(-1), (row[:, None] * FEATURES + at).ravel(), (sign * idf[run.hash[part] % np.uint64(SLOTS)][:, None]).ravel())
+                    at += (own[part] - first)[:, None] * FEATURES
+                    sign *= idf[run.hash[part] % np.uint64(SLOTS)][:, None]
+                    rows = x[used : used + size]
+                    np.add.at(rows.reshape(-1), at.ravel(), sign.ravel())
+                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
                     first, used = first + size, used + size
                     if used == PASSAGES:
                         add()
@@ -412,6 +429,8 @@ class Space:
     def search(self, texts: pa.Array) -> list[list[dict]]:
         """For each text its verified hits: item, cosine, lcs, answer, start."""
         out: list[list[dict]] = [[] for _ in range(len(texts))]
+        sums, words = np.empty((2, ROUND + 1, self.table.shape[1]), np.float32)
+        cosines = np.empty((ROUND, len(self.owner)), np.float32)
         for run in runs(texts):
             self.exact.search(run, out)
             if not len(self.owner):
@@ -422,21 +441,23 @@ class Space:
             room = run.count + WINDOW + (-run.count) % WINDOW
             base = np.cumsum(room) - room
             at = base[run.text[own]] + run.number[own]
-            fresh = np.diff(at // STRIDE, prepend=-1) != 0
-            strides = (at // STRIDE)[fresh]
-            grid = np.full((len(strides), STRIDE), len(self.table) - 1, np.int32)  # where no known word stands, the last row: zeros
-            grid[np.cumsum(fresh) - 1, at % STRIDE] = ids[own]
+            stride = at // STRIDE
+            fresh = np.diff(stride, prepend=-1) != 0
+            strides = stride[fresh]
+            grid = np.full((STRIDE, len(strides)), len(self.table) - 1, np.intp)  # where no known word stands, the last row: zeros
+            grid[at % STRIDE, np.cumsum(fresh) - 1] = ids[own]
             seen: dict[tuple[int, int], int] = {}
             for at in range(0, len(strides), ROUND):
                 # The stride after the last is summed with it, and starts the next round again.
-                part = grid[at : at + ROUND + 1]
-                z = self.table[part[:, 0]]
-                for k in range(1, STRIDE):
-                    z += self.table[part[:, k]]
+                part = grid[:, at : at + ROUND + 1]
+                z, word = sums[: part.shape[1]], words[: part.shape[1]]
+                self.table.take(part[0], 0, out=z, mode="clip")  # no row is outside; without a mode, out is filled from a copy
+                for row in part[1:]:
+                    z += self.table.take(row, 0, out=word, mode="clip")
                 joined = np.flatnonzero(np.diff(strides[at : at + ROUND + 1]) == 1)
                 z[joined] += z[joined + 1]
                 z = z[:ROUND]
-                near = z @ self.latent.T
+                near = np.matmul(z, self.latent.T, out=cosines[: len(z)])
                 norm = np.sqrt(np.einsum("ij,ij->i", z, z))[:, None]
                 for hit in np.flatnonzero(near >= COSINE * np.maximum(norm, 1e-9)).tolist():
                     k, piece = divmod(hit, len(self.owner))

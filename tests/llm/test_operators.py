@@ -270,6 +270,40 @@ def test_word_hashes():
     assert [x >= 0 for x in find(np.array(list(alone.values()), np.uint64))] == [k % 2 == 0 for k in range(len(alone))]
 
 
+def _defined(word):
+    """The hash of a word as it is defined, byte by byte."""
+    h = 0
+    for i, c in enumerate(word):
+        h = (h + c * pow(0x9E3779B97F4A7C15, i, 1 << 64)) % (1 << 64)
+    for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> shift) * m % (1 << 64)
+    return h ^ h >> 31
+
+
+def test_word_hashes_take_little_beside_the_line():
+    """Words on both sides of a stretch's end, and some longer than it, have the hashes of their definition, without arrays of eight bytes for each byte of the line (op1's check failed by CPU seconds, many of them for such arrays)."""
+    n = decontaminate.SLICE // 16
+    words = [b"ab", b"c" * (n - 4), b"d", b"e" * n, b"f" * (n + 1), "é".encode(), b"g" * (n - 1), b"h" * (2 * n), b"i"]
+    line = b"  ".join(words)
+    assert [int(x) for x in decontaminate.hashed(b" " + line + b" ")] == [_defined(w) for w in words]
+    assert [len(decontaminate.hashed(x)) for x in (b"", b" ", b"a", b" a ")] == [0, 0, 1, 1]
+    line = b" ".join(b"word%d" % (i % 1000) for i in range(decontaminate.SLICE // 8))
+    peak, got = _peak(lambda: decontaminate.hashed(line))
+    assert len(got) == decontaminate.SLICE // 8 and peak < 8 * len(line)
+
+
+def test_runs_of_texts():
+    """The texts and numbers of words, with texts without words at both ends and between; texts in ASCII alone are taken apart as others are."""
+    import pyarrow as pa
+
+    texts = ["", None, " Ab, c ", "..", "É d_E", "", "f1\tG\x00h", None]
+    (run,) = decontaminate.runs(pa.array(texts).cast(pa.binary()))
+    words = [decontaminate.words_of((t or "").encode()) for t in texts]
+    assert [run.words(i) for i in range(len(texts))] == words and words[2] == [b"ab", b"c"]
+    assert run.count.tolist() == [len(w) for w in words] and run.text.tolist() == [i for i, w in enumerate(words) for _ in w]
+    assert run.number.tolist() == [k for w in words for k in range(len(w))] and run.hash.tolist() == [_defined(w) for own in words for w in own]
+
+
 def test_paraphrases(spark):
     """Leaks with a tenth of their words replaced are found; texts of the same words in another order are not."""
     words = BENCHMARK[1].split()
