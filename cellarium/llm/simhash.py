@@ -1,16 +1,24 @@
 """SimHash near-duplicates by anchor-point covering.
 
 near_duplicates links texts whose 64-bit fingerprints of three-word shingles differ in DISTANCE bits
-or fewer; no link is lost. similar links texts whose sets of five-word shingles are about 0.8 similar or
-more. At that similarity an eighth of all fingerprint bits differ, so it searches with a longer
-fingerprint of two-word shingles, in which two like texts differ less: one of its 32-bit parts most
+or fewer; no link is lost. similar links texts whose sets of five-word shingles (as 32-bit hashes) are
+SIMILARITY alike or more; no link is lost and none is below. Texts of one set are one from the start.
+It searches twice, and the sets decide what passes of both searches.
+
+The first search finds most links. At that similarity an eighth of all fingerprint bits differ, so it has a
+longer fingerprint of two-word shingles, in which two like texts differ less: one of its 32-bit parts most
 likely differs in two bits or fewer, and then both texts meet at an anchor of that part. Copies cut short
 or extended differ as much in two-word shingles, so texts also meet where both least hashes of their
 five-word shingles agree in one of MIN_BANDS bands: 0.64 a band at similarity 0.8, whatever the edit, which
-all bands miss in one case of 3,500. Pairs that meet
-are compared by 128 bits of five-word shingles, and the links left by 640 bits. What passes is decided
-by the five-word shingle sets themselves (as 32-bit hashes): no link is below SIMILARITY. Texts whose first
-64 bits are equal count as one.
+all bands miss in one case of 3,500. Pairs that meet are compared by 128 bits of five-word shingles and
+thinned to a forest, and the links left are compared by 640 bits.
+
+The second search is exact and finds what the first lost: no meeting, a test by bits that failed, a link
+that was thinned out for one that the sets refuse. All shingles have one order, rarest first. A set of n
+has its first n - 0.8 n + 1 as prefix, rounded up, and two sets 0.8 alike share their first common shingle in both
+prefixes. There they meet, if their classes still differ and the sizes and the places of that
+shingle leave room for 0.8. The order goes by counts in TALLIES ranges of hashes, so common passages
+come last; what it is changes the work only.
 
 Two fingerprints of 64 bits that differ in DISTANCE bits or fewer differ in at most half of that in one
 of their 32-bit halves. In a half the anchors are a covering code: the Hamming code of length 31 with
@@ -34,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import begun, fresh, hex64, table, written
+from cellarium.llm.common import begun, fresh, hex64, released, table, written
 from cellarium.llm.components import components
 
 SHINGLE = 3
@@ -53,6 +61,11 @@ COMPARED_DISTANCE = 34
 #: Of 640 bits. Texts of five-word similarity 0.8 differ in 97 on average (standard deviation 9); the sets decide.
 CHECK_DISTANCE = 128
 SIMILARITY = 0.8
+#: The same in whole numbers; ranges of hashes in which shingles are counted, of BLOCK each in a row.
+ALIKE, TALLIES, BLOCK = (4, 5), 1 << 16, 1 << 12
+#: Of a sketch: the place of its set's name. Shingles of prefixes that are dealt out at once.
+NAMED = CHECK_LANES + SEARCH_LANES + MIN_BANDS
+DEALT = 1 << 18
 _LANE, _STEP = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 BITS = 31
 _POSITIONS = 4096
@@ -120,20 +133,34 @@ def _shingles(own: np.ndarray, shingle: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _set(h: np.ndarray) -> np.ndarray:
+    """The upper halves of sorted hashes, sorted, each once."""
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    return x[np.r_[True, x[1:] != x[:-1]]]
+
+
+def _name(own: np.ndarray) -> int:
+    """The signed 64-bit name of a shingle set."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest(own.astype("<u4").tobytes(), SEED)
+    return digest - (digest >> 63 << 64)
+
+
 def sketch(raw: bytes | None) -> list[int]:
-    """The check lanes, the search lanes and the least hashes of one whole text in UTF-8; zeros where it has no words."""
+    """The check lanes, the search lanes, the least hashes and the name of the shingle set of one whole text in UTF-8; zeros where it has no words."""
     import xxhash
 
     words = (raw or b"").lower().split()
     if not words:
-        return [0] * (CHECK_LANES + SEARCH_LANES + MIN_BANDS)
+        return [0] * (NAMED + 1)
     own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
     out, sets = [], []
     for shingle, lanes in ((CHECK_SHINGLE, CHECK_LANES), (SEARCH_SHINGLE, SEARCH_LANES)):
         h = _shingles(own, shingle)
         sets.append(h)
         out += [_bits(h, len(out) + i) for i in range(lanes)]
-    return out + [_least(sets[0], len(out) + i) for i in range(MIN_BANDS)]
+    return out + [_least(sets[0], len(out) + i) for i in range(MIN_BANDS)] + [_name(_set(sets[0]))]
 
 
 def sketch_of(text: Column) -> Column:
@@ -153,7 +180,7 @@ def shingle_set(raw: bytes | None) -> np.ndarray:
     import xxhash
 
     own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in (raw or b"").lower().split()], np.uint64)
-    return np.unique((_shingles(own, CHECK_SHINGLE) >> np.uint64(32)).astype(np.uint32).view(np.int32)) if len(own) else np.zeros(0, np.int32)
+    return _set(_shingles(own, CHECK_SHINGLE)).view(np.int32) if len(own) else np.zeros(0, np.int32)
 
 
 def shingle_set_of(text: Column) -> Column:
@@ -332,15 +359,176 @@ def similar_links(each: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def alike(pairs: DataFrame, each: DataFrame, docs: DataFrame) -> DataFrame:
     """The (src, dst) pairs whose shingle sets are SIMILARITY alike or more; each has fp and the key (hash of the text) of one text of docs."""
     pairs = written(pairs, "near_pairs")
+    released(docs.sparkSession)
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct().join(each.select("fp", "key"), "fp")
     ends = written(ends, "ends")
     texts = docs.select(F.xxhash64("text").alias("key"), "text").join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = written(texts.select("key", shingle_set_of(F.col("text")).alias("set")).join(ends, "key").select("fp", "set"), "sets")
+    released(docs.sparkSession)
     one, other = (sets.select(F.col("fp").alias(end), F.col("set").alias(f"{end}_set")) for end in ("src", "dst"))
     both = F.size(F.array_intersect("src_set", "dst_set"))
     return pairs.join(one, "src").join(other, "dst").filter(both >= SIMILARITY * (F.size("src_set") + F.size("dst_set") - both)).select("src", "dst")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The shingle sets of batches of texts, of those repeated within a batch one."""
+    begun()
+    for batch in batches:
+        for t in batch.column(0).cast(pa.binary()).unique():
+            own = shingle_set(t.as_py()).view(np.uint32)
+            if len(own):
+                yield own
+
+
+def counted(docs: DataFrame) -> np.ndarray:
+    """How many shingles of all texts have their hash in each of TALLIES ranges."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(TALLIES, np.int64)
+        for own in _sets(batches):
+            np.add.at(n, own >> np.uint32(16), 1)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(TALLIES // BLOCK), pa.int32()), pa.array(list(n.reshape(-1, BLOCK)), pa.list_(pa.int64()))], names=["block", "n"])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        n = np.concatenate([c.flatten().to_numpy() for c in rows.column("n").chunks]).reshape(-1, BLOCK).sum(0)
+        return pa.table({"block": rows.column("block")[:1].cast(pa.int32()), "n": pa.array([n], pa.list_(pa.int64()))})
+
+    out = np.zeros((TALLIES // BLOCK, BLOCK), np.int64)
+    parts = docs.select("text").mapInArrow(tally, "block int, n array<bigint>")
+    for r in parts.groupBy("block").applyInArrow(summed, "block int, n array<bigint>").collect():
+        out[r["block"]] = r["n"]
+    return out.ravel()
+
+
+def prefix(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all: one of them is in each set that is ALIKE."""
+    n = len(own) - -(-ALIKE[0] * len(own) // ALIKE[1]) + 1
+    key = counts[own >> np.uint32(16)].astype(np.uint64) << np.uint64(32) | own * np.uint32(0x9E3779B1)
+    return own[np.argsort(key)[:n]]
+
+
+def shared(docs: DataFrame) -> DataFrame:
+    """(token, fp, place, size): the shingles that prefixes of two sets or more share. Most prefixes share nothing, so all are dealt out in arrays, and rows are made of what is shared only."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = 4 * n
+    sent = spark.sparkContext.broadcast(np.minimum(counted(docs), (1 << 32) - 1).astype(np.uint32))
+    kind = np.dtype([("token", "<u4"), ("fp", "<i8"), ("place", "<i4"), ("size", "<i4")])
+
+    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        at = rows["token"] % slices
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        ends = np.r_[first[1:], len(rows)]
+        return pa.RecordBatch.from_arrays([pa.array(at[first], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], names=["slice", "rows"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = sent.value, [], 0
+        for own in _sets(batches):
+            token = prefix(own, counts)
+            rows = np.empty(len(token), kind)
+            rows["token"], rows["fp"], rows["place"], rows["size"] = token, _name(own), np.arange(len(token)), len(own)
+            held.append(rows)
+            size += len(rows)
+            if size >= DEALT:
+                yield deal(held)
+                held, size = [], 0
+        if size:
+            yield deal(held)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun()
+        held = [np.frombuffer(x.as_py(), kind) for batch in batches for x in batch.column("rows")]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows["fp"], rows["token"]))]
+        same = rows["token"][1:] == rows["token"][:-1]
+        rows = rows[np.r_[True, ~(same & (rows["fp"][1:] == rows["fp"][:-1]))]]
+        same = rows["token"][1:] == rows["token"][:-1]
+        rows = rows[np.r_[False, same] | np.r_[same, False]]
+        for at in range(0, len(rows), 1 << 16):
+            part = rows[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part["token"], pa.int64()), *(pa.array(np.ascontiguousarray(part[c])) for c in ("fp", "place", "size"))], names=["token", "fp", "place", "size"])
+
+    return docs.select("text").mapInArrow(dealt, "slice int, rows binary").repartition(n, "slice").mapInArrow(met, "token bigint, fp bigint, place int, size int")
+
+
+def _room(place: np.ndarray, size: np.ndarray, other_place: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether sets whose first common shingle is at these places may be ALIKE."""
+    both = np.minimum(size - place, other_size - other_place)
+    return (ALIKE[0] + ALIKE[1]) * both >= ALIKE[0] * (size + other_size)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst) of different roots that have _room, from rows (key, part, across, own, fp, root, place, size) sorted by key, part and size; across: only with other own."""
+    begun()
+    names = ["key", "part", "across", "own", "fp", "root", "place", "size"]
+
+    def pairs(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, part, across, own, fp, root, place, size = x
+
+        def fit(a, b):
+            return (root[a] != root[b]) & ((across[a] == 0) | (own[a] != own[b])) & _room(place[a], size[a], place[b], size[b])
+
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        length = np.diff(np.r_[first, len(key)])
+        run, small = np.repeat(np.arange(len(first)), length), np.repeat(length <= 32, length)
+        lefts, rights, held = [], [], 0
+
+        def found():
+            a, b = fp[np.concatenate(lefts)], fp[np.concatenate(rights)]
+            ends = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, 0])), pa.array(np.ascontiguousarray(ends[:, 1]))], names=["src", "dst"])
+
+        for s in range(1, min(32, int(length.max()))):
+            a = np.flatnonzero((run[s:] == run[:-s]) & small[s:])
+            a = a[fit(a, a + s)]
+            lefts.append(a)
+            rights.append(a + s)
+        for r in np.flatnonzero(length > 32):
+            for a in range(first[r], first[r] + length[r] - 1):
+                b = np.arange(a + 1, first[r] + np.searchsorted(size[first[r] : first[r] + length[r]], size[a] * ALIKE[1] // ALIKE[0], "right"))
+                b = b[fit(a, b)]
+                if len(b):
+                    lefts.append(np.full(len(b), a))
+                    rights.append(b)
+                    held += len(b)
+                if held >= TALLY:
+                    yield found()
+                    lefts, rights, held = [], [], 0
+        if any(map(len, lefts)):
+            yield found()
+
+    rest = [np.zeros(0, np.int64)] * len(names)
+    for batch in batches:
+        if batch.num_rows:
+            now = [np.concatenate([r, batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)]) for r, n in zip(rest, names, strict=True)]
+            last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            cut = last[-1] + 1 if len(last) else 0
+            rest = [x[cut:] for x in now]
+            if cut:
+                yield from pairs([x[:cut] for x in now])
+    if len(rest[0]):
+        yield from pairs(rest)
+
+
+def missed(docs: DataFrame, roots: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(src, dst): all pairs of sets of docs that may be ALIKE and have different roots; roots has (node, root) of nodes that are not their own root."""
+    rows = shared(docs).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = written(rows, "shared")
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    busy = written(counts.select("token", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "tokens")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct((F.least(j, own) * F.col("parts") + F.greatest(j, own)).cast("bigint").alias("part"), (j != own).alias("across")))
+    dealt = rows.join(busy, "token").select(F.col("token").alias("key"), F.explode(part).alias("p"), own.alias("own"), "fp", "root", "place", "size").select("key", "p.*", "own", "fp", "root", "place", "size")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part", "size").mapInArrow(_apart, "src bigint, dst bigint").distinct()
+
+
 def classes(prints: DataFrame, link=exact_links) -> DataFrame:
     """(fp, component_id) from rows of doc_id, fp and what else link takes (the least of it per fp)."""
     other = [c for c in prints.columns if c not in ("doc_id", "fp")]
@@ -359,12 +547,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(classes(prints), "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_pairs(each: DataFrame) -> DataFrame:
+    """(src, dst) of rows (fp, check, search), fp the name of a set: what similar_links finds, and rows that agree in all of the first lane."""
+    lane = F.col("check")[0].alias("lane")
+    one = written(each.groupBy(lane).agg(F.min(F.struct("fp", "check", "search")).alias("o")).select("lane", F.col("o.fp").alias("least"), "o.check", "o.search"), "lanes")
+    found = similar_links(one.select(F.col("lane").alias("fp"), "check", "search"))
+    src, dst = (one.select(F.col("lane").alias(end), F.col("least").alias(f"{end}_fp")) for end in ("src", "dst"))
+    found = found.join(src, "src").join(dst, "dst").select(F.col("src_fp").alias("src"), F.col("dst_fp").alias("dst"))
+    return found.unionByName(each.select("fp", lane).join(one.select("lane", "least"), "lane").filter("fp <> least").select(F.col("least").alias("src"), F.col("fp").alias("dst")))
+
+
+def similar_sets(each: DataFrame, docs: DataFrame) -> DataFrame:
+    """(src, dst) that join all sets of SIMILARITY or more; each has fp (the name of a set), check, search and the key of one text of docs."""
+    near = written(alike(similar_pairs(each), each, docs), "near_links")
+    return near.unionByName(alike(missed(docs, components(near)), each, docs))
+
+
 def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs, joined by pairs of SIMILARITY of their five-word shingles or more."""
+    """(doc_id, fp, component_id) for each row of docs, joined by pairs of SIMILARITY of their five-word shingles or more; fp is the name of the set."""
     lanes = docs.select("doc_id", F.xxhash64("text").alias("key"), sketch_of(F.col("text")).alias("l"))
-    prints = written(lanes.select("doc_id", F.col("l")[0].alias("fp"), F.slice("l", 1, CHECK_LANES).alias("check"), F.slice("l", CHECK_LANES + 1, SEARCH_LANES + MIN_BANDS).alias("search"), "key"), "sketches")
-    link = lambda each: alike(similar_links(each), each, docs)
-    return prints.join(classes(prints, link), "fp").select("doc_id", "fp", "component_id")
+    prints = written(lanes.select("doc_id", F.col("l")[NAMED].alias("fp"), F.slice("l", 1, CHECK_LANES).alias("check"), F.slice("l", CHECK_LANES + 1, SEARCH_LANES + MIN_BANDS).alias("search"), "key"), "sketches")
+    return prints.join(classes(prints, lambda each: similar_sets(each, docs)), "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +584,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = kept.filter(F.col(times) == 1).select(*docs.columns)
     if not found.filter("doc_id is null or component_id is null").isEmpty():
         alone = found.filter("component_id is null").select(F.col("fp").alias(fp)).distinct()
-        once = once.unionByName(docs.filter("doc_id is null").join(alone, sketch_of(F.col("text"))[0] == F.col(fp), "left_semi").dropDuplicates(["text"]))
+        once = once.unionByName(docs.filter("doc_id is null").join(alone, sketch_of(F.col("text"))[NAMED] == F.col(fp), "left_semi").dropDuplicates(["text"]))
     if ids.filter(F.col(times) > 1).isEmpty():
         return once
     return once.unionByName(kept.filter(F.col(times) > 1).select(*docs.columns).dropDuplicates(["doc_id"]))

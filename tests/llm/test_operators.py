@@ -776,6 +776,40 @@ def test_template_texts_stay(spark):
     assert all(got[150 + i] == got[i] for i in range(10))
 
 
+def test_no_pair_of_alike_texts_is_lost(spark):
+    """Classes are those of all pairs: short texts whose fingerprints differ too much, texts around 0.8 and copies of a passage; groups dealt out in chunks give the same pairs."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6)))
+    common, texts = [word() for _ in range(40)], [None, "", "one", "One", "a b c d"]
+    for i in range(60):
+        base = [word() for _ in range(9)]
+        texts += [" ".join(base[: 9 - i % 2]), " ".join(base[: 8 - i % 2])]
+    for i in range(40):
+        base = [word() for _ in range(rng.randint(20, 200))]
+        base = [*base, *common, *base[:9]] if i % 3 == 0 else base
+        texts.append(" ".join(base))
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(1, len(w) // 45 + 1)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w[rng.randint(0, len(w) // 10) :]))
+    sets = [shingles(t) for t in texts]
+    near = {(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    root = list(range(len(texts)))
+    for j, i in sorted(near):
+        root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    assert [r["component_id"] for r in sorted(simhash.similar(docs).collect(), key=lambda r: r["doc_id"])] == root
+    assert len(near) > 100 and sum(root[i] != i for i in range(5, 125)) == 30
+    name = [simhash.sketch((t or "").encode())[simhash.NAMED] for t in texts]
+    want = {(min(name[i], name[j]), max(name[i], name[j])) for i, j in near if name[i] != name[j]}
+    for chunk in (4096, 3):
+        found = [(r["src"], r["dst"]) for r in simhash.missed(docs, spark.createDataFrame([], "node bigint, root bigint"), chunk).collect()]
+        assert want <= set(found) and len(found) == len(set(found))
+
+
 def test_secrets_after_equals_signs(spark):
     """Values of env files and query strings are masked, and their names stay."""
     import base64
