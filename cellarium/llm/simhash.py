@@ -15,7 +15,7 @@ thinned to a forest, and the links left are compared by 640 bits.
 
 The second search is exact and finds what the first lost: no meeting, a test by bits that failed, a link
 that was thinned out for one that the sets refuse. All shingles have one order, rarest first. A set of n
-has its first n - 0.8 n + 1 as prefix, rounded up, and two sets 0.8 alike share their first common shingle in both
+has its first n - ceil(0.8 n) + 1 as prefix, and two sets 0.8 alike share their first common shingle in both
 prefixes. There they meet, if their classes still differ and the sizes and the places of that
 shingle leave room for 0.8. The order goes by counts in TALLIES ranges of hashes, so common passages
 come last; what it is changes the work only.
@@ -517,7 +517,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def missed(docs: DataFrame, roots: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(src, dst): all pairs of sets of docs that may be ALIKE and have different roots; roots has (node, root) of nodes that are not their own root."""
+    """(src, dst): all pairs of sets of docs that may be ALIKE and have different roots; a node that roots (node, root) lacks is its own."""
     rows = shared(docs).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rows = written(rows, "shared")
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
