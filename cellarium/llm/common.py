@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextvars
 import ctypes
 import functools
 import gc
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 try:
     _trim = ctypes.CDLL(None).malloc_trim
 except (AttributeError, OSError, TypeError):  # another C library
@@ -45,10 +47,29 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make() as a written() table. Tables that make() wrote on its way are deleted, so nothing else may read them."""
+    made: list[str] = []
+    outer = _made.set(made)
+    try:
+        try:
+            df = make()
+        finally:
+            _made.reset(outer)
+        return written(df, name)
+    finally:
+        for path in made:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        released(spark)
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
     for _ in range(2):

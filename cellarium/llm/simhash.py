@@ -6,12 +6,13 @@ SIMILARITY alike or more; no link is lost and none is below. Texts of one set ar
 It searches twice, and the sets decide what passes of both searches.
 
 The first search finds most links. At that similarity an eighth of all fingerprint bits differ, so it has a
-longer fingerprint of two-word shingles, in which two like texts differ less: one of its 32-bit parts most
-likely differs in two bits or fewer, and then both texts meet at an anchor of that part. Copies cut short
-or extended differ as much in two-word shingles, so texts also meet where both least hashes of their
-five-word shingles agree in one of MIN_BANDS bands: 0.64 a band at similarity 0.8, whatever the edit, which
-all bands miss in one case of 3,500. Pairs that meet are compared by 128 bits of five-word shingles and
-thinned to a forest, and the links left are compared by 640 bits.
+fingerprint of two-word shingles, in which two like texts differ less: where one of its 32-bit parts differs
+in two bits or fewer, both texts meet at an anchor of that part. Texts also meet where both least hashes of
+their five-word shingles agree in one of MIN_BANDS bands: 0.64 a band at similarity 0.8, whatever the edit,
+which all bands miss in one case of 3,500. Pairs that meet are compared by 128 bits of five-word shingles and
+thinned to a forest, and the links left are compared by 640 bits. A longer fingerprint (SEARCH_LANES) would
+change the work only: every part puts each text at 33 anchors, and with more texts more of them are shared
+by chance, while the second search finds what the first does not.
 
 The second search is exact and finds what the first lost: no meeting, a test by bits that failed, a link
 that was thinned out for one that the sets refuse. All shingles have one order, rarest first. A set of n
@@ -20,6 +21,11 @@ prefixes. There they meet, if their classes still differ and the sizes and the p
 shingle leave room for 0.8. The order goes by counts in TALLIES ranges of hashes, so common passages
 come last; what it is changes the work only.
 
+Pairs of either search are first held against parities: each element of a set flips one bit of as many bits
+as the set has elements, or more, so two sets differ in as many elements as bits at least, and those that differ in more bits than
+sets of SIMILARITY may in elements are not read. No pair of SIMILARITY is lost by that. The second search
+does so with PARITIES lanes before it makes rows of pairs, so that families of texts just under 0.8 make few.
+
 Two fingerprints of 64 bits that differ in DISTANCE bits or fewer differ in at most half of that in one
 of their 32-bit halves. In a half the anchors are a covering code: the Hamming code of length 31 with
 one free bit, covering radius 1. Every fingerprint has its nearest anchor as home and is replicated to
@@ -42,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import begun, fresh, hex64, released, table, written
+from cellarium.llm.common import begun, fresh, hex64, released, settled, table, written
 from cellarium.llm.components import components
 
 SHINGLE = 3
@@ -52,7 +58,7 @@ CHUNK = 4096
 #: Anchors that are counted at once.
 TALLY = 1 << 18
 #: Search by two-word shingles in 64-bit lanes of two parts each; comparison by the first lanes of five-word shingles, then by all.
-SEARCH_SHINGLE, SEARCH_LANES = 2, 6
+SEARCH_SHINGLE, SEARCH_LANES = 2, 1
 CHECK_SHINGLE, CHECK_LANES, COMPARED_LANES = 5, 10, 2
 #: Anchors by two least hashes each.
 MIN_BANDS = 8
@@ -63,8 +69,9 @@ CHECK_DISTANCE = 128
 SIMILARITY = 0.8
 #: The same in whole numbers; ranges of hashes in which shingles are counted, of BLOCK each in a row.
 ALIKE, TALLIES, BLOCK = (4, 5), 1 << 16, 1 << 12
-#: Of a sketch: the place of its set's name. Shingles of prefixes that are dealt out at once.
+#: Of a sketch: the place of its set's name, and how many 64-bit lanes of parities follow, before the set's size and the lanes of longer sets. Shingles of prefixes that are dealt out at once.
 NAMED = CHECK_LANES + SEARCH_LANES + MIN_BANDS
+PARITIES = 8
 DEALT = 1 << 18
 _LANE, _STEP = 0x9E3779B97F4A7C15, 0x2545F4914F6CDD1D
 BITS = 31
@@ -147,20 +154,32 @@ def _name(own: np.ndarray) -> int:
     return digest - (digest >> 63 << 64)
 
 
+def _parities(own: np.ndarray) -> tuple[list[int], list[int]]:
+    """Signed lanes of bits, each whether an odd number of a set's shingles fall on it: folded to PARITIES, and doubled till there is a bit a shingle (none where PARITIES are enough)."""
+    lanes = PARITIES
+    while 64 * lanes < len(own):
+        lanes *= 2
+    bit = own * np.uint32(0x9E3779B1) >> np.uint32(8) & np.uint32(min(64 * lanes, 1 << 24) - 1)
+    wide = np.packbits((np.bincount(bit, minlength=64 * lanes) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    return np.bitwise_xor.reduce(wide.reshape(-1, PARITIES), axis=0).tolist(), wide.tolist() if lanes > PARITIES else []
+
+
 def sketch(raw: bytes | None) -> list[int]:
-    """The check lanes, the search lanes, the least hashes and the name of the shingle set of one whole text in UTF-8; zeros where it has no words."""
+    """The check lanes, the search lanes, the least hashes, and the name, the parities, the size and the wide parities of the shingle set of one whole text in UTF-8; zeros where it has no words."""
     import xxhash
 
     words = (raw or b"").lower().split()
     if not words:
-        return [0] * (NAMED + 1)
+        return [0] * (NAMED + PARITIES + 2)
     own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
     out, sets = [], []
     for shingle, lanes in ((CHECK_SHINGLE, CHECK_LANES), (SEARCH_SHINGLE, SEARCH_LANES)):
         h = _shingles(own, shingle)
         sets.append(h)
         out += [_bits(h, len(out) + i) for i in range(lanes)]
-    return out + [_least(sets[0], len(out) + i) for i in range(MIN_BANDS)] + [_name(_set(sets[0]))]
+    whole = _set(sets[0])
+    parity, wide = _parities(whole)
+    return out + [_least(sets[0], len(out) + i) for i in range(MIN_BANDS)] + [_name(whole), *parity, len(whole), *wide]
 
 
 def sketch_of(text: Column) -> Column:
@@ -352,8 +371,22 @@ def similar_links(each: DataFrame, chunk: int = CHUNK) -> DataFrame:
     pairs = links(written(rows, "anchored"), ["fp", "more"], COMPARED_DISTANCE, False, chunk)
     pairs = written(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
     one, other = (each.select(F.col("fp").alias(end), F.col("check").alias(f"{end}_check")) for end in ("src", "dst"))
-    bits = F.aggregate(F.zip_with("src_check", "dst_check", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return pairs.join(one, "src").join(other, "dst").filter(bits <= CHECK_DISTANCE).select("src", "dst")
+    return pairs.join(one, "src").join(other, "dst").filter(_differ("src_check", "dst_check") <= CHECK_DISTANCE).select("src", "dst")
+
+
+def _differ(one: str | Column, other: str | Column) -> Column:
+    """The bits in which two columns of lanes differ."""
+    return F.aggregate(F.zip_with(one, other, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+
+
+def not_apart(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """The (src, dst) pairs whose sizes and wide parities leave room for ALIKE; each has fp, size and wide."""
+    one, other = (each.select(F.col("fp").alias(end), F.col("wide").alias(f"{end}_wide"), F.col("size").alias(f"{end}_size")) for end in ("src", "dst"))
+    least, most = F.least("src_size", "dst_size"), F.greatest("src_size", "dst_size")
+    n = F.least(F.size("src_wide"), F.size("dst_wide"))  # sizes that may be ALIKE have as many lanes, or one has twice as many
+    folded = [F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(x)) for x in ("src_wide", "dst_wide")]
+    near = sum(ALIKE) * _differ(*folded) <= (ALIKE[1] - ALIKE[0]) * (least + most)
+    return pairs.join(one, "src").join(other, "dst").filter((ALIKE[1] * least >= ALIKE[0] * most) & near).select("src", "dst")
 
 
 def alike(pairs: DataFrame, each: DataFrame, docs: DataFrame) -> DataFrame:
@@ -464,15 +497,20 @@ def _room(place: np.ndarray, size: np.ndarray, other_place: np.ndarray, other_si
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(src, dst) of different roots that have _room, from rows (key, part, across, own, fp, root, place, size) sorted by key, part and size; across: only with other own."""
+    """(src, dst) of different roots that have _room and parities near enough, from rows (key, part, across, own, fp, root, place, size, p0, p1, ...) sorted by key, part and size; across: only with other own."""
     begun()
-    names = ["key", "part", "across", "own", "fp", "root", "place", "size"]
+    names = ["key", "part", "across", "own", "fp", "root", "place", "size", *(f"p{i}" for i in range(PARITIES))]
 
     def pairs(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, part, across, own, fp, root, place, size = x
+        key, part, across, own, fp, root, place, size, *lanes = x
+        parity = np.column_stack(lanes).view(np.uint64)
 
         def fit(a, b):
-            return (root[a] != root[b]) & ((across[a] == 0) | (own[a] != own[b])) & _room(place[a], size[a], place[b], size[b])
+            """Of index b (and of a, where it is as long) those that fit."""
+            ok = np.flatnonzero((root[a] != root[b]) & ((across[a] == 0) | (own[a] != own[b])) & _room(place[a], size[a], place[b], size[b]))
+            a, b = a if np.ndim(a) == 0 else a[ok], b[ok]
+            differ = np.bitwise_count(parity[a] ^ parity[b]).sum(1, np.int64)
+            return ok[sum(ALIKE) * differ <= (ALIKE[1] - ALIKE[0]) * (size[a] + size[b])]
 
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
         length = np.diff(np.r_[first, len(key)])
@@ -516,15 +554,19 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(rest)
 
 
-def missed(docs: DataFrame, roots: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(src, dst): all pairs of sets of docs that may be ALIKE and have different roots; a node that roots (node, root) lacks is its own."""
-    rows = shared(docs).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def missed(docs: DataFrame, roots: DataFrame, chunk: int = CHUNK, parities: DataFrame | None = None) -> DataFrame:
+    """(src, dst): all pairs of sets of docs that may be ALIKE, by their parities (fp, parity) too where these are given, and have different roots; a node that roots (node, root) lacks is its own."""
+    known = roots.withColumnRenamed("node", "fp")
+    known = known.withColumn("parity", F.lit(None).cast("array<bigint>")) if parities is None else parities.select("fp", "parity").join(known, "fp", "left")
+    rows = shared(docs).join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rows = written(rows, "shared")
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     busy = written(counts.select("token", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "tokens")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct((F.least(j, own) * F.col("parts") + F.greatest(j, own)).cast("bigint").alias("part"), (j != own).alias("across")))
-    dealt = rows.join(busy, "token").select(F.col("token").alias("key"), F.explode(part).alias("p"), own.alias("own"), "fp", "root", "place", "size").select("key", "p.*", "own", "fp", "root", "place", "size")
+    lanes = [F.coalesce(F.get("parity", F.lit(i)), F.lit(0).cast("bigint")).alias(f"p{i}") for i in range(PARITIES)]
+    dealt = rows.join(busy, "token").select(F.col("token").alias("key"), F.explode(part).alias("p"), own.alias("own"), "fp", "root", "place", "size", *lanes)
+    dealt = dealt.select("key", "p.*", *dealt.columns[2:])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part", "size").mapInArrow(_apart, "src bigint, dst bigint").distinct()
 
@@ -558,15 +600,17 @@ def similar_pairs(each: DataFrame) -> DataFrame:
 
 
 def similar_sets(each: DataFrame, docs: DataFrame) -> DataFrame:
-    """(src, dst) that join all sets of SIMILARITY or more; each has fp (the name of a set), check, search and the key of one text of docs."""
-    near = written(alike(similar_pairs(each), each, docs), "near_links")
-    return near.unionByName(alike(missed(docs, components(near)), each, docs))
+    """(src, dst) that join all sets of SIMILARITY or more; each has fp (the name of a set), check, search, parity, size, wide and the key of one text of docs."""
+    spark = docs.sparkSession
+    near = settled(spark, "near_links", lambda: alike(not_apart(settled(spark, "first", lambda: similar_pairs(each)), each), each, docs))
+    return near.unionByName(settled(spark, "lost_links", lambda: alike(not_apart(settled(spark, "second", lambda: missed(docs, components(near), parities=each)), each), each, docs)))
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs, joined by pairs of SIMILARITY of their five-word shingles or more; fp is the name of the set."""
     lanes = docs.select("doc_id", F.xxhash64("text").alias("key"), sketch_of(F.col("text")).alias("l"))
-    prints = written(lanes.select("doc_id", F.col("l")[NAMED].alias("fp"), F.slice("l", 1, CHECK_LANES).alias("check"), F.slice("l", CHECK_LANES + 1, SEARCH_LANES + MIN_BANDS).alias("search"), "key"), "sketches")
+    parity, size, start = F.slice("l", NAMED + 2, PARITIES), F.col("l")[NAMED + PARITIES + 1], NAMED + PARITIES + 2
+    prints = written(lanes.select("doc_id", F.col("l")[NAMED].alias("fp"), F.slice("l", 1, CHECK_LANES).alias("check"), F.slice("l", CHECK_LANES + 1, SEARCH_LANES + MIN_BANDS).alias("search"), parity.alias("parity"), size.alias("size"), F.when(F.size("l") > start, F.slice("l", F.lit(start + 1), F.size("l"))).otherwise(parity).alias("wide"), "key"), "sketches")
     return prints.join(classes(prints, lambda each: similar_sets(each, docs)), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -577,7 +621,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group. Of rows that share this id one stays; rows without an id stay only where their group has no id at all."""
-    found = written(similar(docs.select("doc_id", "text")), "near")
+    found = settled(spark, "near", lambda: similar(docs.select("doc_id", "text")))
     own, times, fp = fresh(docs, "own_id", "times", "fp")
     ids = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias(times))
     kept = docs.join(ids, F.col("doc_id") == F.col(own), "inner")

@@ -810,6 +810,39 @@ def test_no_pair_of_alike_texts_is_lost(spark):
         assert want <= set(found) and len(found) == len(set(found))
 
 
+def test_near_dedup_makes_few_pairs_and_leaves_no_tables(monkeypatch, spark):
+    """A family of texts under 0.8 gives few pairs to the sets, not the square of its size; parities lose no pair of 0.8; of its tables the stage leaves one."""
+    import os
+    import random
+
+    from cellarium.llm.common import shared_dir
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 6)))
+    texts = []
+    for n in (100, 300, 1500):
+        base = [word() for _ in range(n)]
+        texts += [" ".join(word() if i % (n // 6) == k % (n // 6) else x for i, x in enumerate(base)) for k in range(60)] + [" ".join(base[: n - n // 6])]
+    sets = [{int(x) for x in simhash.shingle_set(t.encode())} for t in texts]
+    names = [simhash.sketch(t.encode())[simhash.NAMED] for t in texts]
+    near = [(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    made, put = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name, *a: (made.append((name, put(df, name, *a))), made[-1][1])[1])
+    rows = []
+    whole = simhash.shingle_set_of
+    monkeypatch.setattr(simhash, "shingle_set_of", lambda text: (rows.append(made[-2][1].count()), whole(text))[1])
+    there = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(there)) if os.path.isdir(there) else set()
+    kept = {r["doc_id"] for r in simhash.dedup_stage(spark, docs, "").collect()}
+    root = list(range(len(texts)))
+    for j, i in near:
+        root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert kept == set(root) and len(names) == len(set(names))
+    assert sum(rows) < 8 * len(texts), rows
+    assert [x.split("-")[0] for x in set(os.listdir(there)) - before] == ["near"]
+
+
 def test_secrets_after_equals_signs(spark):
     """Values of env files and query strings are masked, and their names stay."""
     import base64
